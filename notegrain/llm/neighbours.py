@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from notegrain.llm.vantage import SLACK, TILE, Plan, exact, leaves, split_copies, tasks, tiles
-from notegrain.llm.vectors import latest_vectors, unit
-from notegrain.plans.shared import written
+from notegrain.llm.vantage import SLACK, Plan, exact, index, leaves, split_copies, tasks, tiles
+from notegrain.llm.vectors import name_of, unit
 
 
 def _best(i, j, s, rank, k):
@@ -60,27 +59,30 @@ def _leaf(plan: Plan, k: int, dense: int = 1 << 18, most: int = 1 << 21):
             return None
         settle()
         i, j, s = held[0]
-        return pa.RecordBatch.from_arrays([pa.array(md5[i], pa.string()), pa.array(md5[j], pa.string()), pa.array(s)], ["a", "b", "s"]) if len(i) else None
+        return pa.RecordBatch.from_arrays([pa.array(md5[i], pa.binary()), pa.array(md5[j], pa.binary()), pa.array(s)], ["a", "b", "s"]) if len(i) else None
 
     return leaf
 
 
 def nearest(signatures: DataFrame, k: int = 5, least: float = 0.95, factor: float = 0.5, **sizes) -> DataFrame:
-    """a, b, s: for every file a its at most k most similar other files b of at least ``least``, ties by md5.
+    """a, near: for every file a (packed name) its at most k most similar other files of at least ``least`` as
+    structs (d, b), d = -similarity, nearest first, ties by name.
 
     Files without a usable vector have no row, neither as a nor as b; an empty table gives no rows. Of more than
     six files with the same vector, k + 1 are searched and the others get the k first of them, which are their
     nearest by definition."""
-    vectors = written(latest_vectors(signatures).withColumn("flag", F.lit(0)), "vectors")
-    core, tails = split_copies(vectors, k + 1)
-    found = leaves(tasks(core, plan := Plan(least, factor), **sizes), _leaf(plan, k), "a string, b string, s double")
+    plan = Plan(least, factor)
+    core, tails = split_copies(index(signatures, plan, **sizes), k + 1)
+    found = leaves(tasks(core, plan, **sizes), _leaf(plan, k), "a binary, b binary, s double")
     if tails is not None:
         found = found.unionByName(tails.select(F.col("md5").alias("a"), F.explode(F.slice("heads", 1, k)).alias("b"), F.lit(1.0).alias("s")))
-    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("s"), "b"))
-    return found.distinct().withColumn("place", place).filter(F.col("place") <= k).drop("place")
+    # a row has at most k entries from each task that sees it
+    lists = found.groupBy("a").agg(F.collect_list(F.struct((-F.col("s")).alias("d"), "b")).alias("near"))
+    return lists.select("a", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
 
 
 def similar_pairs(signatures: DataFrame, k: int = 5, least: float = 0.95, factor: float = 0.5, **sizes) -> DataFrame:
     """md5_a < md5_b: pairs of which at least one is among the k nearest of the other."""
-    near = nearest(signatures, k, least, factor, **sizes)
-    return near.select(F.least("a", "b").alias("md5_a"), F.greatest("a", "b").alias("md5_b")).distinct()
+    near = nearest(signatures, k, least, factor, **sizes).select("a", F.explode("near.b").alias("b"))
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(name_of(F.col("a")).alias("md5_a"), name_of(F.col("b")).alias("md5_b"))

@@ -25,9 +25,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from notegrain.llm.vectors import pack, unit, unpack
+from notegrain.llm.vectors import latest_vectors, packed, unit, unpack
 from notegrain.plans.shared import written
 
 HOME, JOIN = 0.65, 0.65
@@ -112,49 +112,59 @@ def _router(shared, shard: np.ndarray, visit: float):
     return run
 
 
-def tasks(vectors: DataFrame, plan: Plan, rates=RATES, most: int = MOST_POINTS, block: int = BLOCK, last_block: int = LAST_BLOCK, small: int = SMALL) -> DataFrame:
+ROUTED = "md5 binary, flag int, seen boolean, v binary, home bigint, also array<bigint>"
+
+
+def _points(rows: DataFrame, share: float, level: int, most: int, pack_rows=None) -> np.ndarray:
+    """The level's vantage points: rows drawn by a hash of their name, at most ``most``."""
+    drawn = rows.filter(F.pmod(F.xxhash64("md5", F.lit(level)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    drawn = pack_rows(drawn) if pack_rows else drawn
+    return unit(unpack(drawn.select("v").limit(most).toArrow().column("v")))
+
+
+def _route(rows: DataFrame, points: np.ndarray, plan: Plan, label: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(points)
+    return written(rows.mapInArrow(_router(shared, shards_of(points), plan.visit), ROUTED), label)
+
+
+def index(signatures: DataFrame, plan: Plan, flags: DataFrame | None = None, rates=RATES, most: int = MOST_POINTS, small: int = SMALL, **_) -> DataFrame:
+    """The first level, a written table: md5, flag, seen, v of every file, its shard (home, -1 outside) and the shards it visits (also).
+
+    ``flags`` (md5 packed, flag) limits the files to those it names."""
+    vectors = latest_vectors(signatures)
+    vectors = vectors.withColumn("flag", F.lit(0)) if flags is None else vectors.join(flags, "md5").select("md5", "v", "flag")
+    vectors = vectors.withColumn("seen", F.lit(False))
+    n = signatures.count()
+    if n > small and len(points := _points(signatures, min(rates[0], most / n), 0, most, packed)):
+        return _route(vectors, points, plan, "level0")
+    return written(vectors.select("md5", "flag", "seen", "v", F.lit(-1).cast("bigint").alias("home"), F.array().cast("array<bigint>").alias("also")), "level0")
+
+
+def tasks(routed: DataFrame, plan: Plan, rates=RATES, most: int = MOST_POINTS, block: int = BLOCK, last_block: int = LAST_BLOCK, small: int = SMALL) -> DataFrame:
     """shard, bi, bj, side, many, flag, md5, v: every row in every task that has to see it.
 
-    ``vectors`` is a written table of md5, v, flag. many: the row is in more than one task."""
-    spark = vectors.sparkSession
-    left, parts = vectors.withColumn("seen", F.lit(False)), []
-    total = left.count()
-    n = total
-    for level, rate in enumerate(rates):
-        if n <= small:
-            break
-        share = min(rate, most / n)
-        draw = F.pmod(F.xxhash64("md5", F.lit(level)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-        sampled = left.filter(draw).select("v").limit(most).toArrow().column("v")
-        points = unit(unpack(sampled))
-        if not len(points):
-            continue
-        shard = shards_of(points)
-        routed = left.mapInArrow(_router(spark.sparkContext.broadcast(points), shard, plan.visit), "md5 string, flag int, seen boolean, v binary, home bigint, also array<bigint>")
-        routed = written(routed, f"level{level}")
+    ``routed`` is the first level; the further levels are built here. many: the row is in more than one task."""
+    spark, parts, level = routed.sparkSession, [], 0
+    while True:
         goes = F.when(F.col("home") >= 0, F.array_append("also", F.col("home"))).otherwise(F.col("also"))
         many = F.col("seen") | (F.size("also") > 0)
         parts.append(routed.filter((F.col("home") >= 0) | (F.size("also") > 0)).select(F.explode(goes).alias("shard"), many.alias("many"), "flag", "md5", "v").withColumn("shard", F.col("shard") + F.lit(level << 40)))
         left = routed.filter("home < 0").select("md5", "v", "flag", many.alias("seen"))
-        n = left.count()
-    cells = max(-(-n // last_block), min(4, -(-n // small)), 1)
+        n, level = left.count(), level + 1
+        if level >= len(rates) or n <= small or not len(points := _points(left, min(rates[level], most / n), level, most)):
+            break
+        routed = _route(left, points, plan, f"level{level}")
     rest = left.select(F.lit(len(rates) << 40).alias("shard"), F.col("seen").alias("many"), "flag", "md5", "v")
-    out = [_blocks(rest, F.lit(cells))]
-    if parts:
-        inner = parts[0]
-        for p in parts[1:]:
-            inner = inner.unionByName(p)
-        big = [(r["shard"], -(-r["n"] // block)) for r in inner.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).collect()]
-        """At most (rows in shards) / block entries: one for each block's worth of rows."""
-        if big:
-            sizes = spark.createDataFrame(big, "shard bigint, cells bigint")
-            out.append(_blocks(inner.join(F.broadcast(sizes), "shard"), F.col("cells")))
-            inner = inner.join(F.broadcast(sizes), "shard", "left_anti")
-        out.append(inner.select("shard", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), "many", "flag", "md5", "v"))
-    full = out[0]
-    for p in out[1:]:
-        full = full.unionByName(p)
-    return full
+    full, inner = _blocks(rest, F.lit(max(1, -(-n // last_block)))), parts[0]
+    for p in parts[1:]:
+        inner = inner.unionByName(p)
+    # at most (rows in shards) / block rows come back: one for each block's worth of a large shard
+    big = [(r["shard"], -(-r["n"] // block)) for r in inner.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).collect()]
+    if big:
+        sizes = spark.createDataFrame(big, "shard bigint, cells bigint")
+        full = full.unionByName(_blocks(inner.join(F.broadcast(sizes), "shard"), F.col("cells")))
+        inner = inner.join(F.broadcast(sizes), "shard", "left_anti")
+    return full.unionByName(inner.select("shard", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), "many", "flag", "md5", "v"))
 
 
 def _blocks(rows: DataFrame, cells) -> DataFrame:
@@ -177,7 +187,7 @@ def leaves(work: DataFrame, leaf, schema: str) -> DataFrame:
         def flush():
             table = pa.Table.from_batches(kept).combine_chunks()
             kept.clear()
-            got = leaf(table.column("md5").to_numpy(), unpack(table.column("v")), table.column("side").to_numpy(), table.column("flag").to_numpy(), table.column("many").to_numpy())
+            got = leaf(np.array(table.column("md5").to_pylist(), object), unpack(table.column("v")), table.column("side").to_numpy(), table.column("flag").to_numpy(), table.column("many").to_numpy())
             return got
 
         last = None
@@ -223,20 +233,15 @@ def exact(x: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 18) -> n
     return np.round(out, 12)
 
 
-def split_copies(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame | None]:
+def split_copies(routed: DataFrame, keep: int) -> tuple[DataFrame, DataFrame | None]:
     """The rows to search, at most ``keep`` of each vector that more than six files share, and the other rows as
     (md5, heads): the first files, by md5, with that very vector. None if there are no others (the usual case)."""
     h = F.xxhash64("v")
-    crowded = written(vectors.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 6"), "crowded")
+    crowded = written(routed.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 6"), "crowded")
     if crowded.isEmpty():
-        return vectors, None
-    from pyspark.sql import Window as W
-
-    mine = vectors.withColumn("h", h).join(crowded.select("h"), "h", "left_semi")
+        return routed, None
+    mine = routed.select("md5", "v").withColumn("h", h).join(crowded.select("h"), "h", "left_semi")
     first = mine.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("md5"))).filter(F.col("r") <= keep)
-    heads = written(first.groupBy("v").agg(F.array_sort(F.collect_list("md5")).alias("heads")), "heads")
+    heads = written(first.groupBy("v").agg(F.array_sort(F.collect_list("md5")).alias("heads"), F.lit(1).alias("one")), "heads")
     tails = written(mine.join(heads, "v").filter(~F.array_contains("heads", F.col("md5"))).select("md5", "heads"), "copies")
-    return written(vectors.join(tails, "md5", "left_anti"), "searched"), tails
-
-
-__all__ = ["Plan", "exact", "joined", "leaves", "pack", "split_copies", "tasks", "tiles", "unit"]
+    return written(routed.join(tails, "md5", "left_anti"), "searched"), tails

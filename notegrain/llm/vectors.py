@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WIDTH = 88
 PLACES = 1000.0
@@ -67,20 +67,38 @@ def _packer(d: int):
                 values = flat.cast(pa.float32()).to_numpy(zero_copy_only=False)
                 size = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 x[good] = values[np.repeat(good, size)].reshape(-1, d)
-            ok = np.isfinite(x).all(1) & (x != 0).any(1) & ~b.column("md5").is_null().to_numpy(zero_copy_only=False)
+            ok = np.isfinite(x).all(1) & (x != 0).any(1)
             if ok.any():
                 yield pa.RecordBatch.from_arrays([b.column("md5").filter(pa.array(ok)), b.column("built_at").filter(pa.array(ok)), pack(x[ok])], ["md5", "built_at", "v"])
 
     return run
 
 
+HEX = "^[0-9a-f]{32}$"
+
+
+def key_of(md5: Column) -> Column:
+    """A file's name as bytes that sort the same: 16 for a hash in hex, else its UTF-8 and, so that no other name has 16 bytes, one or two bytes 0xff."""
+    text = F.encode(md5, "utf-8")
+    return F.when(md5.rlike(HEX), F.unhex(md5)).when(F.length(text) == 15, F.concat(text, F.unhex(F.lit("ffff")))).otherwise(F.concat(text, F.unhex(F.lit("ff"))))
+
+
+def name_of(key: Column) -> Column:
+    """The name that key_of() packed."""
+    ends = F.when(F.hex(key).endswith("FFFF"), 2).otherwise(1)
+    return F.when(F.length(key) == 16, F.lower(F.hex(key))).otherwise(F.decode(F.substring(key, F.lit(1), F.length(key) - ends), "utf-8"))
+
+
+def packed(signatures: DataFrame, d: int = WIDTH) -> DataFrame:
+    """key, built_at, v of the rows with a usable vector: d components, none null or infinite or NaN, not all zero."""
+    rows = signatures.filter("md5 is not null").select(key_of(F.col("md5")).alias("md5"), F.col("built_at").cast("timestamp_ntz").alias("built_at"), F.col("vec").cast("array<float>").alias("vec"))
+    return rows.mapInArrow(_packer(d), "md5 binary, built_at timestamp_ntz, v binary")
+
+
 def latest_vectors(signatures: DataFrame, d: int = WIDTH) -> DataFrame:
-    """md5, v: of each file the usable vector that was built last.
-
-    Usable: d components, none null or infinite or NaN, not all zero. Rows without md5 have no file. A null
-    built_at is the oldest; of vectors built at the same time the greatest packed value wins, so repeats and
-    ties give one defined row. Vectors are packed before the one shuffle, in which only one row a file and
-    map task is kept."""
-    rows = signatures.select("md5", F.col("built_at").cast("timestamp_ntz").alias("built_at"), F.col("vec").cast("array<float>").alias("vec"))
-    packed = rows.mapInArrow(_packer(d), "md5 string, built_at timestamp_ntz, v binary")
-    return packed.groupBy("md5").agg(F.max(F.struct("built_at", "v")).alias("m")).select("md5", "m.v")
+    """md5 (packed by key_of), v: of each file the usable vector that was built last.
+
+    Rows without md5 have no file. A null built_at is the oldest; of vectors built at the same time the
+    greatest packed value wins, so repeats and ties give one defined row. Vectors are packed before the one
+    shuffle, in which only one row a file and map task is kept."""
+    return packed(signatures, d).groupBy("md5").agg(F.max(F.struct("built_at", "v")).alias("m")).select("md5", "m.v")
