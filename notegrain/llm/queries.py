@@ -4,15 +4,105 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from notegrain.llm import neighbours
+from notegrain.llm import containers, linkage, neighbours, overlap, splits, survivor, tokens, visual
 from notegrain.plans.shared import table
 
 
+def _tables(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
+    return [table(spark, d, n) for n in names]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.winners(*_tables(spark, d, "metadata", "manifest", "column_baseline")).select("song_id", "column_name", "md5")
+
+
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(*_tables(spark, d, "metadata", "manifest", "column_baseline"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "signatures_ext"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split(*_tables(spark, d, "metadata", "signatures_ext"))
+
+
+MUSIC = ["bpm", "note_density", "duration_sec", "time_signature", "n_tracks", "n_notes", "has_drums", "midi_patches", "pitch_min", "pitch_max", "n_distinct_chords", "avg_vel", "tempo_change_count"]
+
+
+def p4_overlap(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "metadata")
+    return overlap.chunk_overlap(rows.select(F.col("md5").alias("key"), splits.split_name().alias("split"), overlap.normalised(MUSIC).alias("record")))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps per split, first source of the file's manifest row (null where there is none) and kind."""
+    found = p4_found(spark, d)
+    first = table(spark, d, "manifest").groupBy("md5").agg(F.min(F.element_at(F.when(F.size("sources") > 0, F.col("sources")), 1)).alias("source"))
+    return found.join(first, "md5", "left").groupBy("split", "source", "overlap").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.torn_groups(table(spark, d, "metadata"), F.coalesce("song_id", "md5"))
+
+
+def p5_assigned(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign(table(spark, d, "metadata"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.groups(table(spark, d, "signatures_ext"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p8_filled(spark: SparkSession, d: str) -> DataFrame:
+    return containers.fill(tokens.token_counts(table(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return visual.look_alikes(table(spark, d, "documents"))
+
+
+def p9_form(spark: SparkSession, d: str) -> DataFrame:
+    return visual.one_form(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p4_found, p4_overlap, p4_report, p5_found, p5_assigned, p6_found, p7_ids, p8_filled, p9_found, p9_form)}
 SQL: dict[str, str] = {}
+
+_MEMBERS = """
+bounds AS (SELECT column_name AS c, lo, hi FROM column_baseline),
+good AS (
+  SELECT song_id, md5, loaded_at,
+    CASE WHEN NOT isnan(bpm) AND bpm BETWEEN (SELECT lo FROM bounds WHERE c = 'bpm') AND (SELECT hi FROM bounds WHERE c = 'bpm') THEN bpm END AS bpm,
+    CASE WHEN NOT isnan(note_density) AND note_density BETWEEN (SELECT lo FROM bounds WHERE c = 'note_density') AND (SELECT hi FROM bounds WHERE c = 'note_density') THEN note_density END AS note_density,
+    CASE WHEN NOT isnan(duration_sec) AND duration_sec BETWEEN (SELECT lo FROM bounds WHERE c = 'duration_sec') AND (SELECT hi FROM bounds WHERE c = 'duration_sec') THEN duration_sec END AS duration_sec,
+    CASE WHEN regexp_full_match(time_signature, '[1-9][0-9]?/(1|2|4|8|16|32|64)') THEN time_signature END AS time_signature
+  FROM metadata WHERE song_id IS NOT NULL AND md5 IS NOT NULL),
+c AS (SELECT *, (bpm IS NOT NULL)::INT + (note_density IS NOT NULL)::INT + (duration_sec IS NOT NULL)::INT + (time_signature IS NOT NULL)::INT AS complete FROM good),
+latest AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY song_id, md5 ORDER BY loaded_at DESC NULLS LAST, complete DESC, bpm DESC NULLS LAST, note_density DESC NULLS LAST, duration_sec DESC NULLS LAST, time_signature DESC NULLS LAST) = 1),
+trust AS (SELECT md5, max(n_copies) AS trust FROM manifest GROUP BY md5),
+m AS (SELECT latest.*, coalesce(trust, 0) AS trust FROM latest LEFT JOIN trust USING (md5)),
+e AS (
+  SELECT song_id, md5, complete, trust, loaded_at, 'record' AS column_name, md5 AS v FROM m
+  UNION ALL SELECT song_id, md5, complete, trust, loaded_at, 'bpm', bpm::VARCHAR FROM m WHERE bpm IS NOT NULL
+  UNION ALL SELECT song_id, md5, complete, trust, loaded_at, 'note_density', note_density::VARCHAR FROM m WHERE note_density IS NOT NULL
+  UNION ALL SELECT song_id, md5, complete, trust, loaded_at, 'duration_sec', duration_sec::VARCHAR FROM m WHERE duration_sec IS NOT NULL
+  UNION ALL SELECT song_id, md5, complete, trust, loaded_at, 'time_signature', time_signature FROM m WHERE time_signature IS NOT NULL),
+best AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY song_id, column_name ORDER BY complete DESC, trust DESC, loaded_at DESC NULLS LAST, md5) = 1),
+several AS (SELECT song_id FROM metadata WHERE song_id IS NOT NULL AND md5 IS NOT NULL GROUP BY song_id HAVING count(DISTINCT md5) > 1)
+"""
+SQL["p2_found"] = f"WITH {_MEMBERS} SELECT song_id, column_name, md5 FROM best WHERE song_id IN (FROM several)"
+SQL["p2_survivors"] = f"""
+WITH {_MEMBERS} SELECT song_id, max(v) FILTER (column_name = 'record') AS md5, (max(v) FILTER (column_name = 'bpm'))::DOUBLE AS bpm, (max(v) FILTER (column_name = 'note_density'))::DOUBLE AS note_density,
+  (max(v) FILTER (column_name = 'duration_sec'))::DOUBLE AS duration_sec, max(v) FILTER (column_name = 'time_signature') AS time_signature, 1 AS is_canonical
+FROM best WHERE song_id IN (FROM several) GROUP BY song_id"""
+
+_SPLIT = r"CASE lower(regexp_replace(split, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')) WHEN 'training' THEN 'train' WHEN 'validation' THEN 'val' WHEN 'testing' THEN 'test' WHEN '' THEN NULL ELSE lower(regexp_replace(split, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')) END"
+SQL["p5_found"] = f"SELECT coalesce(song_id, md5) AS grp FROM metadata WHERE coalesce(song_id, md5) IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {_SPLIT}) > 1"
