@@ -110,7 +110,7 @@ def stretch() -> tuple[str, str]:
 
     ASCII specials (controls) are tested apart, so that plain ASCII never reaches the long class."""
     _, _, special, marks = _unicode()
-    wide = lambda chars: f"[^\\x00-\\x7f&&[{_ranges(frozenset(c for c in chars if ord(c) > 127))}]]"
+    wide = lambda chars: f"[[^\\x00-\\x7f]&&[{_ranges(frozenset(c for c in chars if ord(c) > 127))}]]"
     narrow = _ranges(frozenset(c for c in special if ord(c) <= 127))
     one = f"(?:[{narrow}]|{wide(special)})"
     return one, f"(?s)(?:(?!{one}).)?(?:{one}){{1,64}}+(?:{wide(marks)})*+"
@@ -128,40 +128,43 @@ def _compose(cps: Column, composites: Column) -> Column:
         return F.when(code.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
     def step(s, e):
-        near = (s["base"] != "") & F.when(e["ccc"] == 0, s["rest"] == "").otherwise(s["last"] < e["ccc"])
+        near = e["joins"] & (s["base"] != "") & F.when(e["ccc"] == 0, s["rest"] == "").otherwise(s["last"] < e["ccc"])
         joint = F.when(near, F.coalesce(F.try_element_at(composites, F.concat(s["base"], e["c"])), jamo(s["base"], e["c"])))
         new = e["ccc"] == 0
-        return F.struct(
-            F.when(joint.isNull() & new, F.concat(s["out"], s["base"], s["rest"])).otherwise(s["out"]).alias("out"),
-            F.when(joint.isNotNull(), joint).when(new, e["c"]).otherwise(s["base"]).alias("base"),
-            F.when(joint.isNotNull(), s["rest"]).when(new, "").otherwise(F.concat(s["rest"], e["c"])).alias("rest"),
-            F.when(joint.isNotNull(), s["last"]).otherwise(e["ccc"]).alias("last"),
-        )
+
+        def after(j):
+            return F.struct(
+                F.when(j.isNull() & new, F.concat(s["out"], s["base"], s["rest"])).otherwise(s["out"]).alias("out"),
+                F.when(j.isNotNull(), j).when(new, e["c"]).otherwise(s["base"]).alias("base"),
+                F.when(j.isNotNull(), s["rest"]).when(new, "").otherwise(F.concat(s["rest"], e["c"])).alias("rest"),
+                F.when(j.isNotNull(), s["last"]).otherwise(e["ccc"]).alias("last"),
+            )
+
+        return F.element_at(F.transform(F.array(joint), after), 1)  # so that the look-up is made once
 
     return F.aggregate(cps, state, step, lambda s: F.concat(s["out"], s["base"], s["rest"]))
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     mapping, pairs, _, marks = _unicode()
-    codes = set(mapping) | {c for c in marks if unicodedata.combining(c)}
-    rows = [(c, [(x, unicodedata.combining(x)) for x in mapping.get(c, c)]) for c in sorted(codes)]
+    rows = [(c, [(x, unicodedata.combining(x), x in marks) for x in mapping.get(c, c)]) for c in sorted(marks.union(mapping))]
     one = spark.createDataFrame([(dict(pairs),)], "composites map<string,string>")
-    return spark.createDataFrame(rows, "ch string, to array<struct<c:string,ccc:int>>"), one
+    return spark.createDataFrame(rows, "ch string, to array<struct<c:string,ccc:int,joins:boolean>>"), one
 
 
 def _stretches(pieces: DataFrame) -> DataFrame:
     """piece, shown: the one form of each distinct stretch."""
     mapping, composites = _tables(pieces.sparkSession)
     points = pieces.select("piece", F.posexplode(F.split("piece", "")).alias("pos", "ch")).filter("ch <> ''")
-    own = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc")))
+    own = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(False).alias("joins")))
     mapped = points.join(F.broadcast(mapping), "ch", "left").select("piece", F.posexplode_outer(F.coalesce("to", own)).alias("sub", "e"), "pos")
     # one list a stretch, in order; each code point gets the number of bases up to it, then marks are ordered by class
-    listed = mapped.filter("e is not null").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "e.c", "e.ccc"))).alias("l"))
-    start = F.struct(F.array().cast("array<struct<k:int,ccc:int,pos:int,sub:int,c:string>>").alias("l"), F.lit(0).alias("k"))
+    listed = mapped.filter("e is not null").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "e.c", "e.ccc", "e.joins"))).alias("l"))
+    start = F.struct(F.array().cast("array<struct<k:int,ccc:int,pos:int,sub:int,c:string,joins:boolean>>").alias("l"), F.lit(0).alias("k"))
 
     def number(s, e):
         k = F.when(e["ccc"] == 0, s["k"] + 1).otherwise(s["k"])
-        return F.struct(F.array_append(s["l"], F.struct(k.alias("k"), e["ccc"].alias("ccc"), e["pos"].alias("pos"), e["sub"].alias("sub"), e["c"].alias("c"))).alias("l"), k.alias("k"))
+        return F.struct(F.array_append(s["l"], F.struct(k.alias("k"), e["ccc"].alias("ccc"), e["pos"].alias("pos"), e["sub"].alias("sub"), e["c"].alias("c"), e["joins"].alias("joins"))).alias("l"), k.alias("k"))
 
     ordered = listed.select("piece", F.array_sort(F.aggregate("l", start, number, lambda s: s["l"])).alias("l"))
     shown = ordered.crossJoin(F.broadcast(composites)).select("piece", _compose(F.col("l"), F.col("composites")).alias("shown"))  # one row
