@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegrain.operators import profile
+from notegrain.functions import melody, pitch, rhythm
+from notegrain.operators import catalog, profile, sampling, space
+from notegrain.plans.ops import bound
 from notegrain.plans.shared import table
+from notegrain.sources.bindings import BINDINGS
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,3 +69,7 @@ SELECT load_id, column_name, n_rows, n_missing, n_violations, n_distinct, min_va
   round(CASE WHEN k > 0 AND rk > 0 AND others > 0 THEN (s1 / k - r1 / rk) / others END, 4) AS shift
 FROM u
 """
+
+OPS = {op.name: op for family in (pitch, rhythm, melody, catalog, sampling, space) for op in family.OPS}
+for _op in OPS.values():
+    QUERIES[_op.name], SQL[_op.name] = bound(_op, BINDINGS)
