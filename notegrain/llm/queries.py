@@ -57,6 +57,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return linkage.groups(table(spark, d, "signatures_ext"))
 
 
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.clusters(table(spark, d, "signatures_ext"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -73,7 +77,7 @@ def p9_form(spark: SparkSession, d: str) -> DataFrame:
     return visual.one_form(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p4_found, p4_overlap, p4_report, p5_found, p5_assigned, p6_found, p7_ids, p8_filled, p9_found, p9_form)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p4_found, p4_overlap, p4_report, p5_found, p5_assigned, p6_found, p6_clusters, p7_ids, p8_filled, p9_found, p9_form)}
 SQL: dict[str, str] = {}
 
 _MEMBERS = """
