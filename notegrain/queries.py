@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from notegrain.functions import melody, pitch, rhythm
-from notegrain.operators import catalog, profile, sampling, space
+from notegrain.operators import catalog, iterate, profile, sampling, space
 from notegrain.plans.ops import bound
 from notegrain.plans.shared import table
 from notegrain.sources.bindings import BINDINGS
+from notegrain.streaming import live
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +22,43 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.load_profile(table(spark, d, "metadata"), table(spark, d, "column_baseline"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_profile": p1_profile}
+def _unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(BINDINGS["sig"].sql, embeddings=table(spark, d, "embeddings"))
+
+
+def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return iterate.kmeans(_unit_vectors(spark, d))
+
+
+def neardup_components(spark: SparkSession, d: str) -> DataFrame:
+    return iterate.near_duplicates(_unit_vectors(spark, d), 0.2, "label", 1_000_000)
+
+
+def ridge_predictions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "metadata").groupBy("md5").agg(*[F.max(c).alias(c) for c in ("n_tracks", "n_distinct_patches", "n_notes")])
+    return iterate.ridge_predictions(rows, "md5", ["n_tracks", "n_distinct_patches"], "n_notes")
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Event times carry no zone; the session's is UTC."""
+    stream = live.follow(spark, d, table(spark, d, "events").schema, "events.parquet")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
+    got = live.drain(live.counters(_event_stream(spark, d), "ts", ["event_type"], "value"), "complete")
+    return got.select(F.col("at").cast("timestamp_ntz").alias("at"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    return live.upserted(_event_stream(spark, d).select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+def stream_unseen(spark: SparkSession, d: str) -> DataFrame:
+    return live.drain(live.unseen(_event_stream(spark, d), "event_id", "ts", "400 days")).select("event_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_profile, kmeans_clusters, neardup_components, ridge_predictions, stream_hourly, stream_latest, stream_unseen)}
 SQL: dict[str, str] = {}
 
 _LONG = """
@@ -70,6 +107,21 @@ SELECT load_id, column_name, n_rows, n_missing, n_violations, n_distinct, min_va
 FROM u
 """
 
+SQL["stream_hourly"] = "SELECT date_trunc('hour', ts) AS at, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
+SQL["stream_latest"] = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"
+SQL["stream_unseen"] = "SELECT DISTINCT event_id FROM events"
+SQL["neardup_components"] = f"""
+WITH RECURSIVE sig AS ({BINDINGS["sig"].check.format(embeddings="embeddings")}),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sig a JOIN sig b ON a.label = b.label AND a.vec_id <> b.vec_id AND round(list_dot_product(a.v, b.v), 9) >= 0.2),
+r(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b)
+SELECT node AS vec_id, min(label) AS "group" FROM (SELECT node, label FROM r UNION ALL SELECT a, a FROM e) x GROUP BY node"""
+SQL["ridge_predictions"] = """
+WITH m AS (SELECT md5, max(n_tracks)::DOUBLE AS x, max(n_distinct_patches)::DOUBLE AS z, max(n_notes)::DOUBLE AS y FROM metadata GROUP BY md5),
+c AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM m WHERE x + y + z IS NOT NULL),
+s AS (SELECT sum((x - mx) * (x - mx)) + 300 AS xx, sum((z - mz) * (z - mz)) + 300 AS zz, sum((x - mx) * (z - mz)) AS xz, sum((x - mx) * (y - my)) AS xy, sum((z - mz) * (y - my)) AS zy FROM m, c WHERE x + y + z IS NOT NULL),
+w AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM s)
+SELECT md5, round(my - a * mx - b * mz + a * x + b * z, 6) AS predicted FROM m, c, w WHERE x IS NOT NULL AND z IS NOT NULL"""
+
 OPS = {op.name: op for family in (pitch, rhythm, melody, catalog, sampling, space) for op in family.OPS}
 for _op in OPS.values():
     QUERIES[_op.name], SQL[_op.name] = bound(_op, BINDINGS)
