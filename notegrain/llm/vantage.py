@@ -79,35 +79,40 @@ def shards_of(points: np.ndarray) -> np.ndarray:
     return label
 
 
-def _router(shared, shard: np.ndarray, visit: float):
+def _router(shared, shard: np.ndarray, visit: float, rows: int = 256, cells: int = 2048):
+    """Gives each row its home and the shards it visits. Both lie among the few products of at least ``visit``, so these are all that is looked at."""
+    visit = min(visit, HOME)
+
     def run(batches):
         points = shared.value
-        buffer = np.empty((256, 4096), "f4")
+        buffer = np.empty((rows, cells), "f4")
         for b in batches:
             u = unit(unpack(b.column("v")))
             n = len(u)
-            best, near = np.full(n, -2.0, "f4"), np.zeros(n, "i8")
-            rows, cells = [], []
-            for i in range(0, n, 256):
-                part = u[i : i + 256]
-                for j in range(0, len(points), 4096):
-                    p = points[j : j + 4096]
-                    s = np.matmul(part, p.T, out=buffer[: len(part), : len(p)] if len(p) == 4096 else None)
-                    at = s.argmax(1)
-                    m = s[np.arange(len(part)), at]
-                    better = m > best[i : i + 256]
-                    best[i : i + 256][better], near[i : i + 256][better] = m[better], at[better] + j
-                    hot = np.flatnonzero(m >= visit)
-                    if len(hot):
-                        r, c = np.nonzero(s[hot] >= visit)
-                        rows.append(hot[r] + i)
-                        cells.append(shard[c + j])
-            home = np.where(best >= HOME, shard[near], -1)
-            pairs = np.unique(np.stack([np.concatenate(rows), np.concatenate(cells)], 1), axis=0) if rows else np.empty((0, 2), "i8")
-            pairs = pairs[pairs[:, 1] != home[pairs[:, 0]]]
-            offsets = np.searchsorted(pairs[:, 0], np.arange(n + 1)).astype("i4")
-            also = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs[:, 1].astype("i8")))
-            yield pa.RecordBatch.from_arrays([b.column("md5"), b.column("flag"), b.column("seen"), b.column("v"), pa.array(home.astype("i8")), also], ["md5", "flag", "seen", "v", "home", "also"])
+            row, point, sim = [np.empty(0, "i8")], [np.empty(0, "i8")], [np.empty(0, "f4")]
+            for i in range(0, n, rows):
+                part = u[i : i + rows]
+                for j in range(0, len(points), cells):
+                    p = points[j : j + cells]
+                    s = np.matmul(part, p.T, out=buffer if (len(part), len(p)) == buffer.shape else None)
+                    at = np.flatnonzero(s >= visit)
+                    if len(at):
+                        row.append(at // len(p) + i)
+                        point.append(at % len(p) + j)
+                        sim.append(s.reshape(-1)[at])
+            row, point, sim = np.concatenate(row), np.concatenate(point), np.concatenate(sim)
+            order = np.lexsort((point, -sim, row))
+            row, point, sim = row[order], point[order], sim[order]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+            inside = first[sim[first] >= HOME]
+            home = np.full(n, -1)
+            home[row[inside]] = shard[point[inside]]
+            pairs = np.unique(row << 32 | shard[point])
+            row, cell = pairs >> 32, pairs & 0xFFFFFFFF
+            visits = cell != home[row]
+            row, cell = row[visits], cell[visits]
+            also = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype("i4")), pa.array(cell))
+            yield pa.RecordBatch.from_arrays([b.column("md5"), b.column("flag"), b.column("seen"), b.column("v"), pa.array(home), also], ["md5", "flag", "seen", "v", "home", "also"])
 
     return run
 
@@ -182,26 +187,26 @@ def leaves(work: DataFrame, leaf, schema: str) -> DataFrame:
     keys = ["shard", "bi", "bj"]
 
     def run(batches):
-        kept: list = []
+        kept: list[list[np.ndarray]] = []
 
         def flush():
-            table = pa.Table.from_batches(kept).combine_chunks()
+            columns = kept[0] if len(kept) == 1 else [np.concatenate(c) for c in zip(*kept)]
             kept.clear()
-            got = leaf(np.array(table.column("md5").to_pylist(), object), unpack(table.column("v")), table.column("side").to_numpy(), table.column("flag").to_numpy(), table.column("many").to_numpy())
-            return got
+            return leaf(*columns)
 
         last = None
         for b in batches:
             if not b.num_rows:
                 continue
+            columns = [np.array(b.column("md5").to_pylist(), object), unpack(b.column("v")), *[b.column(c).to_numpy(zero_copy_only=False) for c in ("side", "flag", "many")]]
             k = np.stack([b.column(c).to_numpy().astype("i8") for c in keys], 1)
-            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), len(k)]
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
             for i, j in zip(cuts, cuts[1:]):
-                now = tuple(k[i])
+                now = tuple(k[i].tolist())
                 if kept and now != last and (got := flush()) is not None:
                     yield got
                 last = now
-                kept.append(b.slice(i, j - i))
+                kept.append([c[i:j] for c in columns])
         if kept and (got := flush()) is not None:
             yield got
 
