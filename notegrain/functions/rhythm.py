@@ -46,7 +46,7 @@ OPS = [
     _both("interlock", f"<CELL>, k AS (SELECT DISTINCT song, cell, CASE WHEN pitch IN ({KICK}) THEN 'k' ELSE 's' END AS v FROM c WHERE pitch IN ({KICK}, {SNARE})), g AS (SELECT song, cell, count(*) AS n FROM k GROUP BY song, cell) SELECT song, round(avg(CASE WHEN n = 1 THEN 1e0 ELSE 0e0 END), 6) AS interlock FROM g GROUP BY song", "cells of kick or snare but not both, among cells of either"),
     Op("sweep_concurrency", "WITH e AS (SELECT song, start AS t, 1 AS d FROM {notes} UNION ALL SELECT song, start + greatest(dur, 1), -1 FROM {notes}), s AS (SELECT song, t, sum(d) AS d FROM e GROUP BY song, t), r AS (SELECT song, t, sum(d) OVER (PARTITION BY song ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS live, d FROM s) SELECT song, CAST(max(live) AS BIGINT) AS most, round(avg(CASE WHEN d > 0 THEN live END), 6) AS mean_at_onsets FROM r GROUP BY song", "sweep line over starts and ends"),
     Op("onset_coincidence", "WITH o AS (SELECT song, chan, start, lag(start) OVER (PARTITION BY song ORDER BY start, idx) AS p, lead(start) OVER (PARTITION BY song ORDER BY start, idx) AS n FROM {notes}) SELECT song, round(1e0 - avg(CASE WHEN start - p <= 60 OR n - start <= 60 THEN 1e0 ELSE 0e0 END), 6) AS independence FROM o GROUP BY song", "share of onsets with no other within an eighth of a beat"),
-    Op("pulse_clarity", "WITH c AS (SELECT song, CAST(floor(start / 12e1) AS BIGINT) AS cell, CAST(count(*) AS DOUBLE) AS n FROM {drums} GROUP BY song, CAST(floor(start / 12e1) AS BIGINT)), m AS (SELECT song, min(cell) AS lo, CAST(max(cell) - min(cell) + 1 AS DOUBLE) AS len, sum(n) AS s, sum(n * n) AS ss FROM c GROUP BY song), l AS (SELECT a.song, b.cell - a.cell AS lag, sum(a.n * b.n) AS ab FROM c a JOIN c b ON b.song = a.song AND b.cell - a.cell BETWEEN 2 AND 16 GROUP BY a.song, b.cell - a.cell) SELECT l.song, round(max(l.ab / m.ss), 6) AS clarity FROM l JOIN m ON m.song = l.song GROUP BY l.song", "largest autocorrelation of the onset grid at lags 2 to 16"),
+    Op("pulse_clarity", "WITH c AS (SELECT song, CAST(floor(start / 12e1) AS BIGINT) AS cell, CAST(count(*) AS DOUBLE) AS n FROM {drums} GROUP BY song, CAST(floor(start / 12e1) AS BIGINT)), m AS (SELECT song, min(cell) AS lo, CAST(max(cell) - min(cell) + 1 AS DOUBLE) AS len, sum(n) AS s, sum(n * n) AS ss FROM c GROUP BY song), l AS (SELECT a.song, b.cell - a.cell AS lag, sum(a.n * b.n) AS ab FROM c a JOIN c b ON b.song = a.song AND b.cell - a.cell BETWEEN 2 AND 64 GROUP BY a.song, b.cell - a.cell) SELECT l.song, round(max(l.ab / m.ss), 6) AS clarity FROM l JOIN m ON m.song = l.song GROUP BY l.song", "largest autocorrelation of the onset grid at lags 2 to 64"),
     Op("self_similarity", "WITH x AS (SELECT song, CAST(floor(start / 192e2) AS BIGINT) AS w, pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS n FROM {notes} GROUP BY song, CAST(floor(start / 192e2) AS BIGINT), pitch % 12), l AS (SELECT song, w, sqrt(sum(n * n)) AS len FROM x GROUP BY song, w), u AS (SELECT x.song, x.w, x.pc, x.n / l.len AS u FROM x JOIN l ON l.song = x.song AND l.w = x.w), s AS (SELECT a.song, a.w AS p, b.w AS q, sum(a.u * b.u) AS c FROM u a JOIN u b ON b.song = a.song AND b.pc = a.pc AND b.w > a.w GROUP BY a.song, a.w, b.w), f AS (SELECT song, p, max(CASE WHEN q - p > 2 THEN c END) AS far FROM s GROUP BY song, p) SELECT song, round(avg(CASE WHEN far > 8e-1 THEN 1e0 ELSE 0e0 END), 6) AS repetition, round(avg(far), 6) AS mean_far FROM f GROUP BY song", "windows that come back later"),
     Op("event_sessions", "WITH g AS (SELECT song, t, idx, CASE WHEN t - lag(t) OVER (PARTITION BY song ORDER BY t, idx) > 18e2 THEN 1 ELSE 0 END AS cut FROM {onsets}), s AS (SELECT song, t, sum(cut) OVER (PARTITION BY song ORDER BY t, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g) SELECT song, CAST(session AS BIGINT) AS session, count(*) AS n, max(t) - min(t) AS seconds FROM s GROUP BY song, session", "sessions end at gaps of half an hour"),
 ]

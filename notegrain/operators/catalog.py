@@ -64,7 +64,7 @@ OPS = [
     Op("ordered_distinct", "SELECT source, min(pos) AS first_at FROM (SELECT md5, posexplode(sources) AS (pos, source) FROM {manifest}) s GROUP BY source", "first position of each value", "SELECT source, min(pos) AS first_at FROM (SELECT md5, unnest(range(len(sources))) AS pos, unnest(sources) AS source FROM {manifest}) s GROUP BY source"),
     Op("part_merge", "SELECT part, count(*) AS n FROM (SELECT 'a' AS part, md5 FROM {metadata} WHERE load_id % 2 = 0 UNION ALL SELECT 'b', md5 FROM {metadata} WHERE load_id % 2 = 1) u GROUP BY part", "union of parts"),
     Op("key_difference", "SELECT md5 FROM {manifest} EXCEPT SELECT md5 FROM {catalog}", "set difference"),
-    Op("containment_ratio", "SELECT a.md5, b.cluster_id, round(size(array_intersect(a.s, b.s)) / CAST(greatest(size(a.s), size(b.s)) AS DOUBLE), 6) AS ratio FROM (SELECT md5, array_distinct(split(midi_patches, ';')) AS s FROM {catalog} WHERE substring(md5, 1, 2) = '0a') a CROSS JOIN (SELECT 1 AS cluster_id, array('0', '4', '8', '12') AS s UNION ALL SELECT 2, array('24', '28', '32')) b", "shared members over the larger set", "SELECT a.md5, b.cluster_id, round(len(list_intersect(a.s, b.s)) / greatest(len(a.s), len(b.s))::DOUBLE, 6) AS ratio FROM (SELECT md5, list_distinct(string_split(midi_patches, ';')) AS s FROM {catalog} WHERE substring(md5, 1, 2) = '0a') a CROSS JOIN (SELECT 1 AS cluster_id, ['0', '4', '8', '12'] AS s UNION ALL SELECT 2, ['24', '28', '32']) b"),
+    Op("containment_ratio", "SELECT a.md5, b.cluster_id, round(size(array_intersect(a.s, b.s)) / CAST(greatest(size(a.s), size(b.s)) AS DOUBLE), 6) AS ratio FROM (SELECT md5, array_distinct(split(midi_patches, ';')) AS s FROM {catalog}) a CROSS JOIN (SELECT 1 AS cluster_id, array('0', '4', '8', '12') AS s UNION ALL SELECT 2, array('24', '28', '32')) b", "shared members over the larger set", "SELECT a.md5, b.cluster_id, round(len(list_intersect(a.s, b.s)) / greatest(len(a.s), len(b.s))::DOUBLE, 6) AS ratio FROM (SELECT md5, list_distinct(string_split(midi_patches, ';')) AS s FROM {catalog}) a CROSS JOIN (SELECT 1 AS cluster_id, ['0', '4', '8', '12'] AS s UNION ALL SELECT 2, ['24', '28', '32']) b"),
     Op("octets", "SELECT CAST(i AS INT) AS i, translate(lpad(bin(i), 8, '0'), '01', 'ks') AS octet, bit_count(CAST(i AS BIGINT)) AS hits, bit_count(CAST(i ^ 170 AS BIGINT)) AS off_170 FROM (SELECT explode(sequence(0, 255)) AS i) s", "all kick and snare octets", "SELECT CAST(i AS INT) AS i, translate(lpad(bin(i), 8, '0'), '01', 'ks') AS octet, bit_count(i) AS hits, bit_count(xor(i, 170)) AS off_170 FROM range(256) s(i)"),
     Op("dependency_backbone", "WITH d AS (SELECT DISTINCT source AS a, lang AS b FROM {documents} WHERE source IS NOT NULL AND lang IS NOT NULL), o AS (SELECT source AS a, row_number() OVER (ORDER BY source) AS k FROM (SELECT DISTINCT source FROM {documents} WHERE source IS NOT NULL) s), l AS (SELECT a, lag(a) OVER (ORDER BY k) AS b FROM o) SELECT a, b, 'EXTRACTED' AS kind FROM d UNION ALL SELECT a, b, 'INFERRED' FROM l WHERE b IS NOT NULL", "named edges, and the order where none is named"),
 ]

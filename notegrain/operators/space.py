@@ -15,10 +15,15 @@ def _vec(name: str, sql: str, what: str) -> Op:
 _KNN = "q AS (SELECT vec_id, v FROM {sig} WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS q, b.vec_id AS b, b.label, round(<q.v*b.v>, 9) AS sim FROM q JOIN {sig} b ON b.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, b) AS rn FROM s)"
 _CENT = "c AS (SELECT label, i, avg(x) AS m FROM {sigl} GROUP BY label, i), n AS (SELECT label, sqrt(sum(m * m)) AS len FROM c GROUP BY label), u AS (SELECT c.label, c.i, c.m / n.len AS x FROM c JOIN n ON n.label = c.label)"
 
+def _set_ratio() -> Op:
+    sql = "WITH q AS (SELECT <SH> AS sh), t AS (SELECT song, count(DISTINCT pitch) AS n FROM {notes} GROUP BY song), ref AS (SELECT DISTINCT song AS q, pitch FROM {notes} WHERE song % 50 = 0), rn AS (SELECT q, count(*) AS n FROM ref GROUP BY q), d AS (SELECT DISTINCT song, pitch FROM {notes}), m AS (SELECT d.song, ref.q, q.sh, count(*) AS hit FROM ref CROSS JOIN q JOIN d ON d.pitch = ref.pitch + q.sh GROUP BY d.song, ref.q, q.sh) SELECT m.q, m.song, round(max(CASE WHEN m.hit = rn.n THEN m.hit / CAST(t.n AS DOUBLE) ELSE m.hit / CAST(greatest(t.n, rn.n) AS DOUBLE) END), 6) AS ratio FROM m JOIN t ON t.song = m.song JOIN rn ON rn.q = m.q WHERE m.song <> m.q GROUP BY m.q, m.song"
+    return Op("set_ratio_search", sql.replace("<SH>", "explode(sequence(-6, 5))"), "shared pitches of every fiftieth song with all others over twelve transpositions; a contained query counts against the target only", sql.replace("<SH>", "unnest(range(-6, 6))"))
+
+
 OPS = [
     Op("scaler_stats", "SELECT i, round(avg(x), 6) AS mu, round(stddev_pop(x), 6) AS sd, round(median(x), 6) AS med, round(min(x), 6) AS lo, round(max(x), 6) AS hi FROM {sigl} GROUP BY i", "per-dimension statistics"),
-    Op("scaler_logged", "WITH l AS (SELECT 'bpm' AS col, bpm AS x FROM {catalog} WHERE bpm < 1e9 UNION ALL SELECT 'density', note_density FROM {catalog} WHERE note_density < 1e9 UNION ALL SELECT 'notes', CAST(n_notes AS DOUBLE) FROM {catalog}), f AS (SELECT *, CASE WHEN min(x) OVER (PARTITION BY col) >= 0 AND max(x) OVER (PARTITION BY col) > 50 THEN 1 ELSE 0 END AS logged FROM l), g AS (SELECT col, logged, CASE WHEN logged = 1 THEN ln(1e0 + x) ELSE x END AS x FROM f) SELECT col, logged, round(median(x), 6) AS med, round(avg(x), 6) AS mu, round(stddev_pop(x), 6) AS sd FROM g GROUP BY col, logged", "log where nonnegative and wide, then median, mean, deviation"),
-    Op("scaled_block", "WITH l AS (SELECT vec_id, i, x, avg(x) OVER (PARTITION BY i) AS mu, stddev_pop(x) OVER (PARTITION BY i) AS sd FROM {sigl}), z AS (SELECT vec_id, i, CASE WHEN sd <= 1e-12 THEN 0e0 ELSE greatest(-8e0, least(8e0, (x - mu) / sd)) END AS z FROM l) SELECT vec_id, round(sqrt(sum(z * z)), 4) AS len, round(min(z), 4) AS lo, round(max(z), 4) AS hi FROM z GROUP BY vec_id", "standardised and clipped"),
+    Op("scaler_logged", "WITH l AS (SELECT 'bpm' AS col, bpm AS x FROM {catalog} WHERE bpm < 1e9 UNION ALL SELECT 'density', note_density FROM {catalog} WHERE note_density < 1e9 UNION ALL SELECT 'notes', CAST(n_notes AS DOUBLE) FROM {catalog}), f AS (SELECT col, CASE WHEN min(x) >= 0 AND max(x) > 50 THEN 1 ELSE 0 END AS logged FROM l GROUP BY col), g AS (SELECT l.col, f.logged, CASE WHEN f.logged = 1 THEN ln(1e0 + l.x) ELSE l.x END AS x FROM l JOIN f ON f.col = l.col) SELECT col, logged, round(median(x), 6) AS med, round(avg(x), 6) AS mu, round(stddev_pop(x), 6) AS sd FROM g GROUP BY col, logged", "log where nonnegative and wide, then median, mean, deviation"),
+    Op("scaled_block", "WITH st AS (SELECT i, avg(x) AS mu, stddev_pop(x) AS sd FROM {sigl} GROUP BY i), z AS (SELECT l.vec_id, l.i, CASE WHEN st.sd <= 1e-12 THEN 0e0 ELSE greatest(-8e0, least(8e0, (l.x - st.mu) / st.sd)) END AS z FROM {sigl} l JOIN st ON st.i = l.i) SELECT vec_id, round(sqrt(sum(z * z)), 4) AS len, round(min(z), 4) AS lo, round(max(z), 4) AS hi FROM z GROUP BY vec_id", "standardised and clipped"),
     _vec("knn_cosine", f"WITH {_KNN} SELECT q, b, sim FROM r WHERE rn <= 10", "ten nearest of every fiftieth vector, exact"),
     _vec("density_frontier", f"WITH {_KNN} SELECT q, round(1e0 - avg(sim), 6) AS frontier FROM r WHERE rn <= 25 GROUP BY q", "one less the mean of the 25 nearest"),
     _vec("radius_calibration", f"WITH {_KNN} SELECT round(median(sim), 6) AS radius FROM r WHERE rn = 50", "median similarity of the 50th neighbour"),
@@ -36,8 +41,8 @@ OPS = [
     Op("invention_score", "SELECT cluster_id, CASE WHEN size >= 10 THEN round(6e-1 * (1e0 - tightness) + 4e-1 * isolation, 6) END AS score, CASE WHEN size >= 10 AND 1e0 - tightness > 0 THEN 'keep' ELSE 'discard' END AS status FROM {cluster_summary}", "gain and love; no score if the gate fails"),
     Op("archetype_match", "WITH a AS (SELECT 'rock' AS name, 12e1 AS bpm, 8e0 AS d UNION ALL SELECT 'waltz', 9e1, 4e0 UNION ALL SELECT 'surf', 16e1, 14e0), s AS (SELECT c.md5, a.name, row_number() OVER (PARTITION BY c.md5 ORDER BY round(power((c.bpm - a.bpm) / 4e1, 2) + power((c.note_density - a.d) / 4e0, 2), 9), a.name) AS rn FROM {catalog} c CROSS JOIN a WHERE c.bpm < 1e9 AND c.note_density < 1e9) SELECT md5, name FROM s WHERE rn = 1", "nearest of a few archetypes"),
     Op("cv_correlation", "WITH f AS (SELECT md5, ascii(substring(md5, 1, 1)) % 5 AS fold, ln(1e0 + n_notes) AS y, ln(1e0 + duration_sec) AS x FROM {catalog} WHERE duration_sec BETWEEN 1 AND 3600), t AS (SELECT a.fold, avg(b.x) AS mx, avg(b.y) AS my, (avg(b.x * b.y) - avg(b.x) * avg(b.y)) / (avg(b.x * b.x) - avg(b.x) * avg(b.x) + 1e-6) AS slope FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON b.fold <> a.fold GROUP BY a.fold), p AS (SELECT f.fold, f.y, t.my + t.slope * (f.x - t.mx) AS yhat FROM f JOIN t ON t.fold = f.fold) SELECT fold, round(corr(y, yhat), 6) AS r, round(avg(abs(y - yhat)), 6) AS mae FROM p GROUP BY fold", "ridge of one feature, five folds"),
-    Op("ridge_gramian", "SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x), 6) AS g FROM {sigl} a JOIN {sigl} b ON b.vec_id = a.vec_id WHERE a.i < 8 AND b.i < 8 GROUP BY a.i, b.i", "products of feature columns for closed-form regression"),
+    Op("ridge_gramian", "SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x), 6) AS g FROM {sigl} a JOIN {sigl} b ON b.vec_id = a.vec_id AND b.i >= a.i GROUP BY a.i, b.i", "products of feature columns for closed-form regression"),
     Op("map_payload", "WITH p AS (SELECT percentile(n_notes, 2e-3) AS lo, percentile(n_notes, 998e-3) AS hi FROM {catalog}) SELECT c.md5, round(greatest(-5e-2, least(105e-2, (c.n_notes - p.lo) / (p.hi - p.lo + 1e-9))), 6) AS x FROM {catalog} c CROSS JOIN p", "normalised by outer percentiles", "WITH p AS (SELECT quantile_cont(n_notes, 2e-3) AS lo, quantile_cont(n_notes, 998e-3) AS hi FROM {catalog}) SELECT c.md5, round(greatest(-5e-2, least(105e-2, (c.n_notes - p.lo) / (p.hi - p.lo + 1e-9))), 6) AS x FROM {catalog} c CROSS JOIN p"),
-    Op("set_ratio_search", "WITH q AS (SELECT explode(sequence(-6, 5)) AS sh), t AS (SELECT song, count(DISTINCT pitch) AS n FROM {notes} GROUP BY song), ref AS (SELECT DISTINCT pitch FROM {notes} WHERE song = 1), m AS (SELECT x.song, q.sh, count(DISTINCT x.pitch) AS hit FROM {notes} x CROSS JOIN q JOIN ref ON ref.pitch + q.sh = x.pitch GROUP BY x.song, q.sh) SELECT m.song, round(max(CASE WHEN m.hit = r.n THEN m.hit / CAST(t.n AS DOUBLE) ELSE m.hit / CAST(greatest(t.n, r.n) AS DOUBLE) END), 6) AS ratio FROM m JOIN t ON t.song = m.song CROSS JOIN (SELECT count(*) AS n FROM ref) r WHERE m.song <> 1 GROUP BY m.song", "shared pitches over twelve transpositions", "WITH q AS (SELECT unnest(range(-6, 6)) AS sh), t AS (SELECT song, count(DISTINCT pitch) AS n FROM {notes} GROUP BY song), ref AS (SELECT DISTINCT pitch FROM {notes} WHERE song = 1), m AS (SELECT x.song, q.sh, count(DISTINCT x.pitch) AS hit FROM {notes} x CROSS JOIN q JOIN ref ON ref.pitch + q.sh = x.pitch GROUP BY x.song, q.sh) SELECT m.song, round(max(CASE WHEN m.hit = r.n THEN m.hit / CAST(t.n AS DOUBLE) ELSE m.hit / CAST(greatest(t.n, r.n) AS DOUBLE) END), 6) AS ratio FROM m JOIN t ON t.song = m.song CROSS JOIN (SELECT count(*) AS n FROM ref) r WHERE m.song <> 1 GROUP BY m.song"),
+    _set_ratio(),
     Op("window_counts", "SELECT window.start AS at, event_type, count(*) AS n, round(sum(value), 6) AS total FROM {events} GROUP BY window(ts, '1 hour'), event_type", "tumbling windows", "SELECT date_trunc('hour', ts) AS at, event_type, count(*) AS n, round(sum(value), 6) AS total FROM {events} GROUP BY 1, event_type"),
 ]

@@ -27,10 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    """Removes this process's tables when it ends, as far as that is still possible."""
+    if folder.startswith("file:"):
+        shutil.rmtree("/" + folder.removeprefix("file:").lstrip("/"), True)
+        return
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone; the folder's own retention applies
+        pass
+
+
+_MINE: dict[str, str] = {}
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This process's folder in the shared folder; removed when the process ends."""
+    base = shared_dir(spark)
+    if base not in _MINE:
+        _MINE[base] = f"{base}/notegrain/{uuid.uuid4().hex}"
+        atexit.register(_drop, spark, _MINE[base])
+    return _MINE[base]
+
+
 def written(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, computed once."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/notegrain/{label}-{uuid.uuid4().hex}"
+    at = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from notegrain.plans.shared import shared_dir
+from notegrain.plans.shared import own_dir
 
 
 def follow(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", kind: str = "parquet") -> DataFrame:
@@ -43,7 +43,7 @@ def latest_wins(batch: DataFrame, known: DataFrame | None, key: str, version: st
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there and returns its rows (in mode ``complete`` the last result)."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/notegrain/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/" + ("all" if mode == "complete" else f"batch={n}"))
@@ -58,7 +58,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 def upserted(stream: DataFrame, key: str, version: str) -> DataFrame:
     """The latest row of each key after running the stream over what is there; every batch makes a new table from the last."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/notegrain/upsert-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/upsert-{uuid.uuid4().hex}"
     made: list[str] = []
 
     def put(batch: DataFrame, n: int) -> None:
