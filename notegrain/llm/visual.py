@@ -93,15 +93,17 @@ def _unicode() -> tuple[dict[str, str], dict[str, str], frozenset[str], frozense
     return mapping, pairs, frozenset(special), frozenset(marks)
 
 
-def _ranges(chars: frozenset[str]) -> str:
-    out, codes = [], sorted(map(ord, chars))
-    start = last = codes[0]
-    for n in [*codes[1:], -1]:
-        if n != last + 1:
-            out.append(f"\\x{{{start:x}}}" + (f"-\\x{{{last:x}}}" if last > start else ""))
-            start = n
-        last = n
-    return "".join(out)
+def _class(chars: set[str], bucket: int = 16) -> str:
+    """A character class as a tree: ranges lie in buckets whose own bounds are tested first, so that a character that isn't in it is soon refused."""
+    spans: list[list[int]] = []
+    for n in sorted(map(ord, chars)):
+        if spans and spans[-1][1] == n - 1:
+            spans[-1][1] = n
+        else:
+            spans.append([n, n])
+    hexed = lambda lo, hi: f"\\x{{{lo:x}}}-\\x{{{hi:x}}}"
+    buckets = [spans[i : i + bucket] for i in range(0, len(spans), bucket)]
+    return "[" + "".join(f"[[{hexed(x[0][0], x[-1][1])}]&&[{''.join(hexed(*y) for y in x)}]]" for x in buckets) + "]"
 
 
 @functools.cache
@@ -110,9 +112,8 @@ def stretch() -> tuple[str, str]:
 
     ASCII specials (controls) are tested apart, so that plain ASCII never reaches the long class."""
     _, _, special, marks = _unicode()
-    wide = lambda chars: f"[[^\\x00-\\x7f]&&[{_ranges(frozenset(c for c in chars if ord(c) > 127))}]]"
-    narrow = _ranges(frozenset(c for c in special if ord(c) <= 127))
-    one = f"(?:[{narrow}]|{wide(special)})"
+    wide = lambda chars: f"[[^\\x00-\\x7f]&&{_class({c for c in chars if ord(c) > 127})}]"
+    one = f"(?:{_class({c for c in special if ord(c) <= 127})}|{wide(special)})"
     return one, f"(?s)(?:(?!{one}).)?(?:{one}){{1,64}}+(?:{wide(marks)})*+"
 
 
@@ -175,8 +176,9 @@ def one_form(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """key, shown, changed: every text in its one form; null stays null, empty stays empty. Keys must be unique."""
     one, whole = stretch()
     rows = texts.select(key, F.col(text).alias("text"))
-    plain = rows.filter(F.col("text").isNull() | ~F.col("text").rlike(one)).select(key, F.col("text").alias("shown"))
-    cut = rows.filter(F.col("text").rlike(one)).select(key, F.regexp_extract_all("text", F.lit(whole), F.lit(0)).alias("pieces"), F.split("text", whole, -1).alias("between"))
+    touched = F.col("text").rlike(r"[^\t-\r\x1c-\x7e]") & F.col("text").rlike(one)  # the first is a cheap superset
+    plain = rows.filter(F.col("text").isNull() | ~touched).select(key, F.col("text").alias("shown"))
+    cut = rows.filter(touched).select(key, F.regexp_extract_all("text", F.lit(whole), F.lit(0)).alias("pieces"), F.split("text", whole, -1).alias("between"))
     cut = written(cut, "cut")
     each = cut.select(key, F.posexplode("pieces").alias("i", "piece"))
     shown = _stretches(each.select("piece").distinct())
