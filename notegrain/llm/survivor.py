@@ -21,10 +21,10 @@ RECORD = "record"
 
 def members(metadata: DataFrame, manifest: DataFrame, baseline: DataFrame) -> DataFrame:
     """song_id, md5, loaded_at, the four fields (null where not acceptable), complete, trust."""
-    bounds = baseline.filter(F.col("column_name").isin(*FIELDS[:3])).groupBy().pivot("column_name", list(FIELDS[:3])).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    rows = metadata.select("md5", "song_id", "loaded_at", *FIELDS).filter("song_id is not null and md5 is not null").crossJoin(F.broadcast(bounds))  # one row
-    good = [F.when(F.col(c).between(F.col(f"{c}_lo"), F.col(f"{c}_hi")) & ~F.isnan(c), F.col(c)).alias(c) for c in FIELDS[:3]] + [F.when(F.col(FIELDS[3]).rlike(METER), F.col(FIELDS[3])).alias(FIELDS[3])]
-    rows = rows.select("song_id", "md5", "loaded_at", *good)
+    bounds = {r["column_name"]: (r["lo"], r["hi"]) for r in baseline.select("column_name", "lo", "hi").collect()}  # one row a column
+    inside = lambda c: F.col(c).between(*[F.lit(x).cast("double") for x in bounds.get(c, (None, None))]) & ~F.isnan(c)
+    good = [F.when(inside(c), F.col(c)).alias(c) for c in FIELDS[:3]] + [F.when(F.col(FIELDS[3]).rlike(METER), F.col(FIELDS[3])).alias(FIELDS[3])]
+    rows = metadata.filter("song_id is not null and md5 is not null").select("song_id", "md5", "loaded_at", *good)
     complete = sum(F.col(c).isNotNull().cast("int") for c in FIELDS)
     latest = rows.withColumn("complete", complete).groupBy("song_id", "md5").agg(F.max(F.struct("loaded_at", "complete", *FIELDS)).alias("m")).select("song_id", "md5", "m.*")
     trust = manifest.groupBy("md5").agg(F.max("n_copies").alias("trust"))
