@@ -32,7 +32,8 @@ from notegrain.plans.shared import written
 
 HOME, JOIN = 0.65, 0.65
 MOST_POINTS = 1 << 17
-RATES = (1 / 64, 1 / 8)
+RATES, COARSE = (1 / 64, 1 / 8), 1 << 14
+"""Shares of the rows that are vantage points, level by level. Where the first share is more than COARSE points, a level of COARSE points goes before it: it takes the large clusters out, which few points find as well."""
 BLOCK, LAST_BLOCK, SMALL = 16384, 32768, 4096
 TILE = 1024
 SLACK = 2e-5
@@ -120,6 +121,10 @@ def _router(shared, shard: np.ndarray, visit: float, rows: int = 256, cells: int
 ROUTED = "md5 binary, flag int, seen boolean, v binary, home bigint, also array<bigint>"
 
 
+def _levels(n: int, rates, coarse: int) -> tuple[float, ...]:
+    return (coarse / n, *rates) if n * rates[0] > coarse else tuple(rates)
+
+
 def _points(rows: DataFrame, share: float, level: int, most: int, pack_rows=None) -> np.ndarray:
     """The level's vantage points: rows drawn by a hash of their name, at most ``most``."""
     drawn = rows.filter(F.pmod(F.xxhash64("md5", F.lit(level)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
@@ -132,7 +137,7 @@ def _route(rows: DataFrame, points: np.ndarray, plan: Plan, label: str) -> DataF
     return written(rows.mapInArrow(_router(shared, shards_of(points), plan.visit), ROUTED), label)
 
 
-def index(signatures: DataFrame, plan: Plan, flags: DataFrame | None = None, rates=RATES, most: int = MOST_POINTS, small: int = SMALL, **_) -> DataFrame:
+def index(signatures: DataFrame, plan: Plan, flags: DataFrame | None = None, rates=RATES, coarse: int = COARSE, most: int = MOST_POINTS, small: int = SMALL, **_) -> DataFrame:
     """The first level, a written table: md5, flag, seen, v of every file, its shard (home, -1 outside) and the shards it visits (also).
 
     ``flags`` (md5 packed, flag) limits the files to those it names."""
@@ -140,16 +145,17 @@ def index(signatures: DataFrame, plan: Plan, flags: DataFrame | None = None, rat
     vectors = vectors.withColumn("flag", F.lit(0)) if flags is None else vectors.join(flags, "md5").select("md5", "v", "flag")
     vectors = vectors.withColumn("seen", F.lit(False))
     n = signatures.count()
-    if n > small and len(points := _points(signatures, min(rates[0], most / n), 0, most, packed)):
+    if n > small and len(points := _points(signatures, min(_levels(n, rates, coarse)[0], most / n), 0, most, packed)):
         return _route(vectors, points, plan, "level0")
     return written(vectors.select("md5", "flag", "seen", "v", F.lit(-1).cast("bigint").alias("home"), F.array().cast("array<bigint>").alias("also")), "level0")
 
 
-def tasks(routed: DataFrame, plan: Plan, rates=RATES, most: int = MOST_POINTS, block: int = BLOCK, last_block: int = LAST_BLOCK, small: int = SMALL) -> DataFrame:
+def tasks(routed: DataFrame, plan: Plan, rates=RATES, coarse: int = COARSE, most: int = MOST_POINTS, block: int = BLOCK, last_block: int = LAST_BLOCK, small: int = SMALL) -> DataFrame:
     """shard, bi, bj, side, many, flag, md5, v: every row in every task that has to see it.
 
     ``routed`` is the first level; the further levels are built here. many: the row is in more than one task."""
     spark, parts, level = routed.sparkSession, [], 0
+    rates = _levels(max(1, routed.count()), rates, coarse)
     while True:
         goes = F.when(F.col("home") >= 0, F.array_append("also", F.col("home"))).otherwise(F.col("also"))
         many = F.col("seen") | (F.size("also") > 0)

@@ -10,7 +10,7 @@ from notegrain.llm import linkage, neighbours, overlap, vectors
 D = 88
 T = dt.datetime(2024, 1, 1)
 SCHEMA = "md5 string, vec array<float>, built_at timestamp_ntz, sig_version int, extra string"
-SMALL = {"small": 4, "rates": (1 / 4, 1 / 2), "block": 16, "last_block": 16}
+SMALL = {"small": 4, "rates": (1 / 4, 1 / 2), "coarse": 12, "block": 16, "last_block": 16}
 """Sizes at which a few hundred rows pass through every level, large shards and block pairs."""
 
 
