@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from notegrain.operators.components import components
+from notegrain.plans.shared import written
 
 
 def _dot(a: str, b: str):
@@ -49,6 +50,27 @@ def near_duplicates(vectors: DataFrame, least: float, block: str = "block", most
     return label.join(size.select("label"), "label").select(F.col("node").alias(key), F.col("label").alias("group"))
 
 
+def mutual_duplicates(vectors: DataFrame, least: float = 0.985, k: int = 12, classes: int = 12, active: int = 5, top: int = 4, most_in_group: int = 50, key: str = "vec_id") -> DataFrame:
+    """key, group: near-duplicates, every row in a group, named by its smallest key; a row without any is its own group.
+
+    The first ``classes`` components of ``v`` are pitch classes. Rows with fewer than ``active`` positive ones are
+    left alone. The others are compared within the ranked ``top`` classes (of equal ones the later first); a pair of at
+    least ``least`` cosine counts if each is among the other's ``k`` nearest, itself the first of them, ties by key.
+    Components of such pairs above ``most_in_group`` are dissolved. Pairs below ``least`` are dropped before the ranks,
+    which they cannot change."""
+    pc = F.transform(F.slice("v", 1, classes), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    ranked = F.transform(F.slice(F.reverse(F.array_sort(pc)), 1, top), lambda e: e["i"])
+    rows = vectors.filter(F.size(F.filter(F.slice("v", 1, classes), lambda x: x > 0)) >= active).select(F.array_join(ranked.cast("array<string>"), ",").alias("b"), F.col(key).alias("a"), _unit(F.col("v")).alias("va"))
+    other = rows.select("b", F.col("a").alias("c"), F.col("va").alias("vb"))
+    pairs = written(rows.join(other, "b").filter("a < c").withColumn("sim", F.round(_dot("va", "vb"), 9)).filter(F.col("sim") >= least).select("a", "c", "sim"), "near")
+    ways = pairs.unionByName(pairs.select(F.col("c").alias("a"), F.col("a").alias("c"), "sim"))
+    near = ways.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "c"))).filter(F.col("r") < k)
+    mutual = near.groupBy(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("a", "b")
+    label = components(mutual)
+    kept = label.join(label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_in_group).select("label"), "label")
+    return vectors.select(key).join(kept.select(F.col("node").alias(key), "label"), key, "left").select(key, F.coalesce("label", key).alias("group"))
+
+
 def ridge(rows: DataFrame, features: list[str], target: str, alpha: float = 300.0) -> dict[str, float]:
     """Coefficients and intercept by the normal equations: one aggregate of products, solved on the driver (features squared numbers)."""
     known = rows.select(*[F.col(c).cast("double").alias(c) for c in [*features, target]]).dropna()

@@ -34,6 +34,10 @@ def neardup_components(spark: SparkSession, d: str) -> DataFrame:
     return iterate.near_duplicates(_unit_vectors(spark, d), 0.2, "label", 1_000_000)
 
 
+def mutual_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return iterate.mutual_duplicates(_unit_vectors(spark, d))
+
+
 def ridge_predictions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "metadata").groupBy("md5").agg(*[F.max(c).alias(c) for c in ("n_tracks", "n_distinct_patches", "n_notes")])
     return iterate.ridge_predictions(rows, "md5", ["n_tracks", "n_distinct_patches"], "n_notes")
@@ -58,7 +62,7 @@ def stream_unseen(spark: SparkSession, d: str) -> DataFrame:
     return live.drain(live.unseen(_event_stream(spark, d), "event_id", "ts", "400 days")).select("event_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_profile, kmeans_clusters, neardup_components, ridge_predictions, stream_hourly, stream_latest, stream_unseen)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_profile, kmeans_clusters, neardup_components, mutual_duplicates, ridge_predictions, stream_hourly, stream_latest, stream_unseen)}
 SQL: dict[str, str] = {}
 
 _LONG = """
