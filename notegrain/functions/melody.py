@@ -22,6 +22,7 @@ OPS = [
     Op("smoothness", f"WITH {_PART} SELECT song, chan, round(1e0 / (1e0 + avg(abs(pitch - was))), 6) AS smoothness, count(*) AS n FROM m WHERE was IS NOT NULL GROUP BY song, chan", "small mean motion is smooth"),
     Op("voice_budget", "WITH r AS (SELECT song, start, idx, chan, pitch, row_number() OVER (PARTITION BY song, start, CASE WHEN chan IN (9, 10) THEN 1 ELSE 0 END ORDER BY pitch DESC, idx) AS hi, row_number() OVER (PARTITION BY song, start, CASE WHEN chan IN (9, 10) THEN 1 ELSE 0 END ORDER BY pitch, idx) AS lo FROM {notes}) SELECT song, CASE WHEN chan IN (9, 10) THEN 'drums' WHEN hi = 1 THEN 'melody' WHEN lo = 1 THEN 'bass' ELSE 'harmony' END AS role, count(*) AS n FROM r GROUP BY song, CASE WHEN chan IN (9, 10) THEN 'drums' WHEN hi = 1 THEN 'melody' WHEN lo = 1 THEN 'bass' ELSE 'harmony' END", "highest, lowest and inner notes of each onset"),
     Op("beat_columns", "WITH n AS (SELECT song, idx, pitch, start, start + greatest(dur, 1) AS stop FROM {notes} WHERE chan NOT IN (9, 10)), s AS (SELECT DISTINCT song, CAST(floor(start / 48e1) AS BIGINT) AS beat FROM {notes} WHERE start < 48 * 480) SELECT s.song, s.beat, max(n.pitch) AS hi, min(n.pitch) AS lo, count(*) AS sounding FROM s JOIN n ON n.song = s.song AND n.start <= s.beat * 480 AND n.stop > s.beat * 480 GROUP BY s.song, s.beat", "what sounds at each of the first 48 beats"),
+    Op("beat_sounding", "WITH b AS (SELECT song, pitch, explode(sequence(CAST(floor(start / 48e1) AS BIGINT), CAST(floor((start + greatest(dur, 1) - 1) / 48e1) AS BIGINT))) AS beat FROM {notes} WHERE chan NOT IN (9, 10)) SELECT song, CAST(beat AS BIGINT) AS beat, max(pitch) AS hi, min(pitch) AS lo, count(*) AS sounding FROM b GROUP BY song, beat", "what sounds in each beat of the song, notes that begin in it or are held included", "WITH b AS (SELECT song, pitch, unnest(range(CAST(floor(start / 48e1) AS BIGINT), CAST(floor((start + greatest(dur, 1) - 1) / 48e1) AS BIGINT) + 1)) AS beat FROM {notes} WHERE chan NOT IN (9, 10)) SELECT song, CAST(beat AS BIGINT) AS beat, max(pitch) AS hi, min(pitch) AS lo, count(*) AS sounding FROM b GROUP BY song, beat"),
     Op("asof_voice", "WITH a AS (SELECT song, start, max(pitch) AS pitch, 1 AS mine FROM {notes} WHERE chan = 3 GROUP BY song, start), b AS (SELECT song, start, max(pitch) AS pitch, 0 AS mine FROM {notes} WHERE chan = 4 GROUP BY song, start), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), l AS (SELECT song, start, pitch, mine, max(CASE WHEN mine = 0 THEN start END) OVER (PARTITION BY song ORDER BY start, mine ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS other FROM u) SELECT l.song, l.start, l.pitch, b.start AS other_start, b.pitch AS other_pitch FROM l JOIN b ON b.song = l.song AND b.start = l.other WHERE l.mine = 1 AND l.start - l.other <= 480", "each note of one voice with the latest of another, at most a beat before"),
     Op("nct_snap", "SELECT song, pitch, CASE WHEN pitch % 12 IN (0, 2, 4, 5, 7, 9, 11) THEN pitch ELSE pitch + 1 END AS snapped, count(*) AS n FROM {notes} GROUP BY song, pitch", "to the nearest note of C major, upwards first"),
     Op("transpose_min", "WITH k AS (SELECT song, min(pitch) AS root FROM {notes} GROUP BY song) SELECT song, root, CASE WHEN (12 - root % 12) % 12 <= 6 THEN (12 - root % 12) % 12 ELSE (12 - root % 12) % 12 - 12 END AS shift FROM k", "smallest shift that brings the root to C"),

@@ -41,3 +41,15 @@ def test_song_structure(spark, seed, n, most):
     rows += [(0, 10_000 + i, 960 * w + t, 60, 0, p, 80) for i, (w, t, p) in enumerate((w, t, p) for w in (1, 40) for t, p in ((0, 60), (480, 64), (700, 67)))]
     got = {r.song: (r.n_windows, r.n_sections, pytest.approx(r.repetition_ratio, abs=1.1e-6), r.has_repetition) for r in apply(OPS["song_structure"], notes=spark.createDataFrame(rows, NOTES)).collect()}
     assert got == {s: structure([(r[2], r[5]) for r in rows if r[0] == s]) for s in {r[0] for r in rows}}
+
+
+def test_beat_sounding(spark):
+    rows = notes_of(5, 300, most=100_000) + [(0, 5_000, 240, 480 * 5, 0, 60, 80), (9, 5_001, 70 * 480, 0, 0, 50, 80), (9, 5_002, 0, 960, 9, 40, 80)]
+    want = {}
+    for song, _, start, dur, chan, pitch, _ in rows:
+        if chan not in (9, 10):
+            for beat in range(400):
+                if start < beat * 480 + 480 and start + max(dur, 1) > beat * 480:
+                    want.setdefault((song, beat), []).append(pitch)
+    got = {(r.song, r.beat): (r.hi, r.lo, r.sounding) for r in apply(OPS["beat_sounding"], notes=spark.createDataFrame(rows, NOTES)).collect()}
+    assert got == {k: (max(p), min(p), len(p)) for k, p in want.items()} and (9, 70) in got
