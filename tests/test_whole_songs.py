@@ -53,3 +53,41 @@ def test_beat_sounding(spark):
                     want.setdefault((song, beat), []).append(pitch)
     got = {(r.song, r.beat): (r.hi, r.lo, r.sounding) for r in apply(OPS["beat_sounding"], notes=spark.createDataFrame(rows, NOTES)).collect()}
     assert got == {k: (max(p), min(p), len(p)) for k, p in want.items()} and (9, 70) in got
+
+
+def nearest(a, b, within):
+    """Pairs (i, j) of the nearest onsets of two voices, seen from either."""
+    out = set()
+    for swap, (x, y) in enumerate(((a, b), (b, a))):
+        for i, t in enumerate(x):
+            j = min(range(len(y)), key=lambda j: (abs(y[j] - t), y[j]))
+            if abs(y[j] - t) < within:
+                out.add((j, i) if swap else (i, j))
+    return out
+
+
+def test_voice_motion_and_overlap(spark):
+    rows = notes_of(6, 500, most=120_000) + [(7, 9_000 + i, t, 60, c, p, 80) for i, (t, c, p) in enumerate(((0, 0, 60), (30, 1, 50), (480, 0, 62), (700, 1, 48), (1200, 0, 45), (1230, 1, 48)))]
+    voices = {}
+    for song, _, start, _, chan, pitch, _ in rows:
+        if chan not in (9, 10):
+            v = voices.setdefault(song, {}).setdefault(chan, {})
+            v[start] = max(pitch, v.get(start, 0))
+    motion, over = {}, {}
+    for song, by in voices.items():
+        lines = [sorted(by[c].items()) for c in sorted(by)]
+        for i, a in enumerate(lines):
+            for b in lines[i + 1 :]:
+                sa, sb = ([(t, p - q) for (_, q), (t, p) in zip(v, v[1:])] for v in (a, b))
+                for x, y in nearest([t for t, _ in sa], [t for t, _ in sb], 480):
+                    d, e = sa[x][1], sb[y][1]
+                    k = "oblique" if not d or not e else "contrary" if d * e < 0 else "parallel" if abs(abs(d) - abs(e)) <= 2 else "similar"
+                    motion[song, k] = motion.get((song, k), 0) + 1
+                hi, lo = (b, a) if a[0][1] < b[0][1] else (a, b)
+                o = over.setdefault(song, [0, 0])
+                for x, y in nearest([t for t, _ in hi], [t for t, _ in lo], 240):
+                    o[0] += 1
+                    o[1] += abs(hi[x][0] - lo[y][0]) < 120 and hi[x][1] < lo[y][1]
+    df = spark.createDataFrame(rows, NOTES)
+    assert {(r.song, r.motion): r.n for r in apply(OPS["voice_motion"], notes=df).collect()} == motion
+    assert {r.song: [r.overlaps, r.crossings] for r in apply(OPS["voice_overlap"], notes=df).collect()} == over and over[7][1] == 1 and (7, "contrary") in motion
