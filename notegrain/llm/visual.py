@@ -1,15 +1,16 @@
 """One form for texts that look the same but differ in their characters.
 
-Only stretches that hold a character some rule touches are taken out of a text (one regular expression); each
-distinct stretch is exploded to positioned code points once, these are joined with the broadcast mapping
-(decomposition, look-alikes, nothing for characters without a shape), marks are ordered by class behind their
-base, base and marks are recomposed, and the stretch is put back. Texts without such characters are their
-own form and never leave the scan.
+Texts without a character that some rule touches are their own form and never leave the scan. From the others all
+stretches of other characters than plain ASCII are taken (however long; one cheap regular expression); each distinct
+stretch is exploded to positioned code points once, these are joined with the broadcast mappings (decomposition,
+look-alikes, nothing for characters without a shape; class and partners of marks), marks are ordered by class behind
+their base, base and marks are recomposed, and the stretch is put back.
 
 No difference: width of characters and blanks, composition of accents and order of marks, characters without
 a shape, compatibility characters, letters and hyphens of another script that look the same. A difference:
 raised and lowered characters, case, accents, the number of blanks, line breaks. The mapping has one row for
-each such code point of Unicode (below 40,000, fixed), so its broadcast is bounded.
+each such code point of Unicode (below 40,000, fixed), so its broadcast is bounded; so is that of the stretches
+with more than 1/4096 of all places (below 4,096 of at most HOT characters), which therefore are never shuffled to.
 """
 
 from __future__ import annotations
@@ -18,22 +19,30 @@ import functools
 import sys
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from notegrain.plans.shared import written
 
-# Letters that look like a Latin letter, script by script, each above the letter it looks like.
+# Letters that look like a Latin letter, script by script, each above the letter it looks like;
+# in the last lines letters of several scripts that look like each other and like no Latin one.
 LOOK_ALIKE = (
     ("аеорсухѕіјһԁԛԝӏѵ", "aeopcyxsijhdqwlv"),
     ("АВЕКМНОРСТУХЅІЈԚԜѴӀ", "ABEKMHOPCTYXSIJQWVI"),
     ("αινορυγϲϳ", "aivopuycj"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
     ("օոսհյցզՕՍ", "onuhjgqOU"),
-    ("ɑɡ", "ag"),
+    ("ɑɡᴏᴄᴠᴡᴢꜱᴜ", "agocvwzsu"),
     ("ⲟⲥⲣⲞⲤⲢⲎⲒⲔⲘⲚⲦⲨⲬ", "ocpOCPHIKMNTYX"),
     ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),
     ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+    ("ΓΠΦΛκⲄⲠⲪⲖⲕⲅⲡⲫ", "ГПФɅкГПФɅкгпф"),
+    ("ĸᴋʙᴍʜᴛᴨⲃⲙⲏⲧτ", "кквмнтпвмнтт"),
+    ("ꓥᴦφϕᴫ", "Ʌгффл"),
 )
+HOT = 256
+USUAL, UNUSUAL = r"[\t-\r\x1c-\x7e]", r"[^\t-\r\x1c-\x7e]"
+STRETCH = f"{USUAL}?{UNUSUAL}++"
+"""Plain ASCII, anything else, and a stretch: a run of anything else with the plain character before it. All marks behind a base lie in its stretch."""
 HYPHENS = "‐‑‒–⁃˗−➖Ⲻ﹘﹣－"
 VISIBLE_FORMATS = "؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd"
 SHAPELESS = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
@@ -93,8 +102,8 @@ def _unicode() -> tuple[dict[str, str], dict[str, str], frozenset[str], frozense
     return mapping, pairs, frozenset(special), frozenset(marks)
 
 
-def _class(chars: set[str], bucket: int = 16) -> str:
-    """A character class as a tree: ranges lie in buckets whose own bounds are tested first, so that a character that isn't in it is soon refused."""
+def _class(chars: set[str], leaf: int = 3) -> str:
+    """A character class as a binary tree: half of the ranges are tested only within their own bounds, so a character is settled after a few bounds."""
     spans: list[list[int]] = []
     for n in sorted(map(ord, chars)):
         if spans and spans[-1][1] == n - 1:
@@ -102,23 +111,25 @@ def _class(chars: set[str], bucket: int = 16) -> str:
         else:
             spans.append([n, n])
     hexed = lambda lo, hi: f"\\x{{{lo:x}}}-\\x{{{hi:x}}}"
-    buckets = [spans[i : i + bucket] for i in range(0, len(spans), bucket)]
-    return "[" + "".join(f"[[{hexed(x[0][0], x[-1][1])}]&&[{''.join(hexed(*y) for y in x)}]]" for x in buckets) + "]"
 
+    def tree(part: list[list[int]]) -> str:
+        if len(part) <= leaf:
+            return "".join(hexed(*x) for x in part)
+        halves = part[: len(part) // 2], part[len(part) // 2 :]
+        return "".join(f"[[{hexed(h[0][0], h[-1][1])}]&&[{tree(h)}]]" for h in halves)
+
+    return f"[{tree(spans)}]"
 
-@functools.cache
-def stretch() -> tuple[str, str]:
-    """Regular expressions for one special character, and for a stretch: the character before, specials, and all marks behind them.
 
-    ASCII specials (controls) are tested apart, so that plain ASCII never reaches the long class."""
-    _, _, special, marks = _unicode()
-    wide = lambda chars: f"[[^\\x00-\\x7f]&&{_class({c for c in chars if ord(c) > 127})}]"
-    one = f"(?:{_class({c for c in special if ord(c) <= 127})}|{wide(special)})"
-    return one, f"(?s)(?:(?!{one}).)?(?:{one}){{1,64}}+(?:{wide(marks)})*+"
+@functools.cache
+def special() -> str:
+    """Regular expression for one special character: a character that some rule touches."""
+    chars = _unicode()[2]
+    return f"[{_class({c for c in chars if ord(c) <= 127})}[[^\\x00-\\x7f]&&{_class({c for c in chars if ord(c) > 127})}]]"
 
 
-def _compose(cps: Column, composites: Column) -> Column:
-    """Text of ordered (c, ccc): each mark joins its base where the pair has a composite and nothing of its class or higher stands between."""
+def _compose(cps: Column) -> Column:
+    """Text of ordered (c, ccc, joins, pairs): each mark joins its base where the two have a composite and nothing of its class or higher stands between."""
     state = F.struct(F.lit("").alias("out"), F.lit("").alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
     def jamo(a, b):
@@ -130,7 +141,7 @@ def _compose(cps: Column, composites: Column) -> Column:
 
     def step(s, e):
         near = e["joins"] & (s["base"] != "") & F.when(e["ccc"] == 0, s["rest"] == "").otherwise(s["last"] < e["ccc"])
-        joint = F.when(near, F.coalesce(F.try_element_at(composites, F.concat(s["base"], e["c"])), jamo(s["base"], e["c"])))
+        joint = F.when(near, F.coalesce(F.get(F.filter(e["pairs"], lambda p: p["base"] == s["base"]), F.lit(0))["joint"], jamo(s["base"], e["c"])))
         new = e["ccc"] == 0
 
         def after(j):
@@ -147,44 +158,69 @@ def _compose(cps: Column, composites: Column) -> Column:
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """ch -> to (what a character is mapped to); c -> ccc, joins, pairs (of a mark: its class, and the bases it joins with the joint character)."""
     mapping, pairs, _, marks = _unicode()
-    rows = [(c, [(x, unicodedata.combining(x), x in marks) for x in mapping.get(c, c)]) for c in sorted(marks.union(mapping))]
-    one = spark.createDataFrame([(dict(pairs),)], "composites map<string,string>")
-    return spark.createDataFrame(rows, "ch string, to array<struct<c:string,ccc:int,joins:boolean>>"), one
+    bases: dict[str, list[tuple[str, str]]] = {}
+    for both, c in pairs.items():
+        bases.setdefault(both[1], []).append((both[0], c))
+    rows = [(c, unicodedata.combining(c), True, bases.get(c, [])) for c in sorted(marks)]
+    return spark.createDataFrame(sorted(mapping.items()), "ch string, to string"), spark.createDataFrame(rows, "c string, ccc int, joins boolean, pairs array<struct<base:string,joint:string>>")
 
 
 def _stretches(pieces: DataFrame) -> DataFrame:
-    """piece, shown: the one form of each distinct stretch."""
-    mapping, composites = _tables(pieces.sparkSession)
-    points = pieces.select("piece", F.posexplode(F.split("piece", "")).alias("pos", "ch")).filter("ch <> ''")
-    own = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(False).alias("joins")))
-    mapped = points.join(F.broadcast(mapping), "ch", "left").select("piece", F.posexplode_outer(F.coalesce("to", own)).alias("sub", "e"), "pos")
-    # one list a stretch, in order; each code point gets the number of bases up to it, then marks are ordered by class
-    listed = mapped.filter("e is not null").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "e.c", "e.ccc", "e.joins"))).alias("l"))
-    start = F.struct(F.array().cast("array<struct<k:int,ccc:int,pos:int,sub:int,c:string,joins:boolean>>").alias("l"), F.lit(0).alias("k"))
-
-    def number(s, e):
-        k = F.when(e["ccc"] == 0, s["k"] + 1).otherwise(s["k"])
-        return F.struct(F.array_append(s["l"], F.struct(k.alias("k"), e["ccc"].alias("ccc"), e["pos"].alias("pos"), e["sub"].alias("sub"), e["c"].alias("c"), e["joins"].alias("joins"))).alias("l"), k.alias("k"))
-
-    ordered = listed.select("piece", F.array_sort(F.aggregate("l", start, number, lambda s: s["l"])).alias("l"))
-    shown = ordered.crossJoin(F.broadcast(composites)).select("piece", _compose(F.col("l"), F.col("composites")).alias("shown"))  # one row
-    return pieces.join(shown, "piece", "left").select("piece", F.coalesce("shown", F.lit("")).alias("shown"))
+    """piece, shown: the one form of each distinct stretch that shows anything.
+
+    Code points are numbered by the bases up to them, and marks are ordered by class behind their base. From one
+    character that joins nothing up to the next is a part, which is composed by itself, so that work is linear."""
+    mapping, marks = _tables(pieces.sparkSession)
+    points = pieces.select("piece", F.posexplode(F.split("piece", "")).alias("pos", "ch"))
+    mapped = points.join(F.broadcast(mapping), "ch", "left").select("piece", "pos", F.posexplode(F.split(F.coalesce("to", "ch"), "")).alias("sub", "c")).filter("c <> ''")
+    known = mapped.join(F.broadcast(marks), "c", "left").withColumns({"ccc": F.coalesce("ccc", F.lit(0)), "joins": F.coalesce("joins", F.lit(False))})
+    upto = W.partitionBy("piece").orderBy("pos", "sub")
+    numbered = known.withColumns({"base": F.sum((F.col("ccc") == 0).cast("int")).over(upto), "part": F.sum((~F.col("joins")).cast("int")).over(upto)})
+    listed = numbered.groupBy("piece", "part").agg(F.array_sort(F.collect_list(F.struct("base", "ccc", "pos", "sub", "c", "joins", "pairs"))).alias("l"))
+    parts = listed.select("piece", "part", F.when(F.size("l") == 1, F.element_at("l", 1)["c"]).otherwise(_compose(F.col("l"))).alias("s"))
+    return parts.groupBy("piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "s"))), lambda x: x["s"]), "").alias("shown"))
+
+
+def _touched() -> Column:
+    return F.coalesce(F.regexp_replace("text", f"{USUAL}+", "").rlike(special()), F.lit(False))  # runs of plain ASCII are dropped first, which is cheap
+
+
+def _cut(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """keys of the rows whose text is its own form (or null); keys and ``shown`` of the others. Each text is looked at once."""
+    cut = F.arrays_zip(F.split("text", STRETCH, -1).alias("between"), F.regexp_extract_all("text", F.lit(STRETCH), F.lit(0)).alias("piece"))
+    places = written(rows.select(*keys, F.posexplode_outer(F.when(_touched(), cut)).alias("i", "z")).select(*keys, "i", "z.between", "z.piece"), "places")
+    distinct = written(places.filter("piece is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "pieces")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    formed = _stretches(distinct.filter(F.col("piece").rlike(special())).select("piece"))
+    own = F.when(~F.col("piece").rlike(special()), F.col("piece")).otherwise(F.lit(""))  # the others show nothing
+    shown = written(distinct.join(formed, "piece", "left").select("piece", "n", F.coalesce("shown", own).alias("shown")), "shown")
+    hot = (F.col("n") > F.lit(total // 4096)) & (F.length("piece") <= HOT)
+    common = F.broadcast(shown.filter(hot).select("piece", F.col("shown").alias("common")))  # below 4,096 rows of at most HOT characters
+    here = places.filter("i is not null").join(common, "piece", "left").withColumn("shown", F.when(F.col("piece").isNull(), F.lit("")).otherwise(F.col("common")))
+    rest = here.filter("shown is null").drop("shown").join(shown.filter(~hot).select("piece", "shown"), "piece")
+    every = here.filter("shown is not null").unionByName(rest).select(*keys, F.struct("i", F.concat("between", "shown").alias("s")).alias("e"))
+    built = every.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["s"]), "").alias("shown"))
+    return places.filter("i is null").select(*keys), built
 
 
 def one_form(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, shown, changed: every text in its one form; null stays null, empty stays empty. Keys must be unique."""
-    one, whole = stretch()
+    """key, shown: every text in its one form; null stays null, empty stays empty. Keys must be unique."""
     rows = texts.select(key, F.col(text).alias("text"))
-    touched = F.col("text").rlike(r"[^\t-\r\x1c-\x7e]") & F.col("text").rlike(one)  # the first is a cheap superset
-    plain = rows.filter(F.col("text").isNull() | ~touched).select(key, F.col("text").alias("shown"))
-    cut = rows.filter(touched).select(key, F.regexp_extract_all("text", F.lit(whole), F.lit(0)).alias("pieces"), F.split("text", whole, -1).alias("between"))
-    cut = written(cut, "cut")
-    each = cut.select(key, F.posexplode("pieces").alias("i", "piece"))
-    shown = _stretches(each.select("piece").distinct())
-    back = each.join(shown, "piece").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "shown"))), lambda x: x["shown"]).alias("shown"))
-    built = cut.join(back, key).select(key, F.concat(F.array_join(F.zip_with(F.slice("between", F.lit(1), F.size("shown")), "shown", lambda a, b: F.concat(a, b)), ""), F.element_at("between", -1)).alias("shown"))
-    return plain.unionByName(built)
+    _, built = _cut(rows.filter(_touched()), [key])
+    return rows.filter(~_touched()).select(key, F.col("text").alias("shown")).unionByName(built)
+
+
+def _forms(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, own, form (digests) of the documents of texts that look the same and are not the same characters."""
+    blank = r"\A[\s\p{Z}]*\z"
+    rows = texts.filter(F.col(text).isNotNull()).select(key, F.unhex(F.md5(F.col(text))).alias("own"), F.col(text).rlike(blank).alias("blank"), F.col(text).alias("text"))
+    plain, built = _cut(rows, [key, "own", "blank"])
+    forms = plain.filter("not blank").select(key, "own", F.col("own").alias("form")).unionByName(built.filter(~F.col("shown").rlike(blank)).select(key, "own", F.unhex(F.md5("shown")).alias("form")))
+    rows = written(forms, "forms")
+    split = rows.groupBy("form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("form")
+    return written(rows.join(split, "form", "left_semi"), "alike")
 
 
 def look_alikes(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,14 +228,18 @@ def look_alikes(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Null, empty and blank texts (or texts of shapeless characters only) are no cases. Pairs are found between
     distinct texts and only then expanded to the documents that hold them, so repeats of one text, however
-    many, are never paired with each other."""
-    blank = r"\A[\s\p{Z}]*\z"
-    own = texts.select(key, F.unhex(F.md5(F.col(text))).alias("own"), F.col(text).alias("text"))
-    forms = one_form(texts, key, text).filter(~F.col("shown").rlike(blank)).select(key, F.unhex(F.md5("shown")).alias("form"))
-    rows = written(own.filter(F.col("text").isNotNull()).select(key, "own").join(forms, key), "forms")
-    split = rows.groupBy("form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("form")
-    mine = written(rows.join(split, "form", "left_semi"), "alike")
+    many, are never paired with each other. ``alike_classes`` gives the same without pairs."""
+    mine = _forms(texts, key, text)
     kinds = mine.select("form", "own").distinct()
     pairs = kinds.withColumnRenamed("own", "x").join(kinds.withColumnRenamed("own", "y"), "form").filter("x < y").select("x", "y")
     a = pairs.join(mine.select(F.col("own").alias("x"), F.col(key).alias("p")), "x").join(mine.select(F.col("own").alias("y"), F.col(key).alias("q")), "y")
     return a.select(F.least("p", "q").alias(f"{key}_a"), F.greatest("p", "q").alias(f"{key}_b"))
+
+
+def alike_classes(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class, spelling, n_spellings: of each document that ``look_alikes`` pairs, the least document that looks the
+    same, the least one with the very same characters, and how many spellings the class has. Linear in the documents."""
+    mine = _forms(texts, key, text)
+    spelling = mine.groupBy("form", "own").agg(F.min(key).alias("spelling"))
+    form = spelling.groupBy("form").agg(F.min("spelling").alias("class"), F.count(F.lit(1)).alias("n_spellings"))
+    return mine.join(spelling, ["form", "own"]).join(form, "form").select(key, "class", "spelling", "n_spellings")

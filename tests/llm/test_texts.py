@@ -121,3 +121,24 @@ def test_pairs_that_look_the_same(spark):
 def test_any_mixture(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     assert {r.doc_id: r.shown for r in visual.one_form(df).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_accent_behind_a_thousand_shapeless_characters(spark):
+    far = ["caf" + "e" + "​" * n + "́" for n in (0, 1, 10, 63, 64, 65, 70, 1000, 50_000)] + ["café", "cafe"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(far)], "doc_id bigint, text string")
+    assert {r.shown for r in visual.one_form(df).filter("doc_id < 10").collect()} == {"café"}
+    n = len(far) - 1
+    assert {tuple(r) for r in visual.look_alikes(df).collect()} == {(a, b) for a in range(n) for b in range(a + 1, n)}
+
+
+def test_letters_of_two_scripts_without_a_latin_one(spark):
+    rows = ["ГПФ", "ΓΠΦ", "ⲄⲠⲪ", "ГПф"]
+    got = {tuple(r) for r in visual.look_alikes(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_classes_without_pairs(spark):
+    rows = ["cope", "соре", "cope", "cope​", "other", None, "", "​", "x²", "x2"]
+    got = {tuple(r) for r in visual.alike_classes(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")).collect()}
+    assert got == {(0, 0, 0, 3), (1, 0, 1, 3), (2, 0, 0, 3), (3, 0, 3, 3)}
+    assert visual.alike_classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
