@@ -69,6 +69,10 @@ def p8_filled(spark: SparkSession, d: str) -> DataFrame:
     return containers.fill(tokens.token_counts(table(spark, d, "documents")))
 
 
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    return containers.summary(tokens.token_counts(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return visual.look_alikes(table(spark, d, "documents"))
 
@@ -81,7 +85,7 @@ def p9_form(spark: SparkSession, d: str) -> DataFrame:
     return visual.one_form(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p4_found, p4_overlap, p4_report, p5_found, p5_assigned, p6_found, p6_clusters, p7_ids, p8_filled, p9_found, p9_classes, p9_form)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p4_found, p4_overlap, p4_report, p5_found, p5_assigned, p6_found, p6_clusters, p7_ids, p8_filled, p8_summary, p9_found, p9_classes, p9_form)}
 SQL: dict[str, str] = {}
 
 _MEMBERS = """

@@ -54,14 +54,36 @@ def checked(plan, histogram, capacity):
 
 def test_configurations_reach_the_bound_where_it_can_be_reached():
     for histogram, capacity, most in (({7: 100, 3: 100}, 10, 100), ({6: 50, 4: 20, 5: 61, 3: 40}, 10, 84), ({1: 10_000_000, 999: 7}, 1000, 10_007), ({1000: 5}, 1000, 5), ({501: 9}, 1000, 9), ({}, 10, 0)):
-        assert checked(containers.configurations(histogram, capacity), histogram, capacity) <= most
+        assert checked(containers.configurations(histogram, capacity)[0], histogram, capacity) <= most
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=12))
 def test_configurations_hold_everything(histogram):
-    used = checked(containers.configurations(histogram, 50, steps=20), histogram, 50)
-    assert used >= -(-sum(s * n for s, n in histogram.items()) // 50)
+    plan, bound = containers.configurations(histogram, 50, rounds=20)
+    assert checked(plan, histogram, 50) >= bound >= -(-sum(s * n for s, n in histogram.items()) // 50)
+
+
+def test_program_beats_best_fit_where_that_is_poor():
+    histogram = {650: 3000, 690: 3000, 700: 3000}
+    plan, bound = containers.configurations(histogram, 2048)
+    assert checked(plan, histogram, 2048) == bound == 3000 and checked(containers.best_fit(histogram, 2048), histogram, 2048) == 3500
+
+
+def test_bound_holds_for_small_histograms():
+    def least(items, rooms=()):
+        """Fewest containers by trying everything."""
+        if not items:
+            return len(rooms)
+        first, rest = items[0], items[1:]
+        tried = {r for r in rooms if r >= first}
+        ways = [least(rest, tuple(sorted((*rooms[: rooms.index(r)], *rooms[rooms.index(r) + 1 :], r - first)))) for r in tried]
+        return min([*ways, least(rest, tuple(sorted((*rooms, 10 - first))))])
+
+    for histogram in ({6: 3, 5: 2}, {4: 5, 3: 2}, {7: 2, 4: 2, 3: 2}, {6: 4, 3: 1}):
+        plan, bound = containers.configurations(histogram, 10)
+        fewest = least(tuple(s for s, n in histogram.items() for _ in range(n)))
+        assert bound <= fewest <= checked(plan, histogram, 10) <= fewest + 1
 
 
 def test_knapsack_is_optimal():
@@ -77,7 +99,9 @@ def test_knapsack_is_optimal():
 
 def test_fill_places_each_unit_once(spark):
     sizes = [0, None, 1, 2048, 2049, 5000, 700, 700, 700, 648, 1] + [333] * 40
-    rows = containers.fill(spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)], "doc_id bigint, n_tokens bigint, at string")).collect()
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)], "doc_id bigint, n_tokens bigint, at string")
+    assert containers.fill(df, group=4).select("container_id").distinct().count() == containers.summary(df).first().n_containers
+    rows = containers.fill(df, group=4).collect()
     seen, boxes = {}, {}
     for r in rows:
         seen.setdefault(r.doc_id, set()).update(range(r.first_unit, r.first_unit + r.n_units))
@@ -90,7 +114,8 @@ def test_fill_places_each_unit_once(spark):
             assert at == end
             end += n
         assert end <= 2048
-    assert containers.fill(spark.createDataFrame([], "doc_id bigint, n_tokens bigint")).count() == 0
+    none = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
+    assert containers.fill(none).count() == 0 and tuple(containers.summary(none).first()) == (0, 0, 0, None)
 
 
 def brute(text):
