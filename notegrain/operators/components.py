@@ -4,14 +4,14 @@ Each round lets every node take the smallest label among its neighbours, for nei
 turn (Kiveris et al. 2014); the number of rounds grows with the logarithm of the graph's size, long chains and
 hubs included. Minima are combined map-side and joins are left to adaptive skew handling, so a hub's edges
 are never in one task. Each round's edges are a written table, so lineage stays short and a lost executor
-costs one round at most.
+costs one round at most; the round before is dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from notegrain.plans.shared import written
+from notegrain.plans.shared import dropped, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        now = written(small.filter("u <> v").distinct(), "edges")
+        last, now = now, written(small.filter("u <> v").distinct(), "edges")
+        dropped(last)
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == seen:
             break

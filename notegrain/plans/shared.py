@@ -1,7 +1,8 @@
 """Tables that cut lineage: written to the folder all executors share, then read again.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, a laptop) is a
-local folder made and set. Unlike a local checkpoint, such a table outlives any executor.
+The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and all executors run on this
+machine (tests, a laptop) is a local folder made and set; a cluster without the setting is refused. Unlike a local
+checkpoint, such a table outlives any executor. Operators in rounds drop the tables of rounds that are over.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {_SETTING} to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="notegrain-")
     atexit.register(shutil.rmtree, made, True)
     spark.conf.set(_SETTING, f"file://{made}")
@@ -56,7 +59,15 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     at = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    made = spark.read.schema(df.schema).parquet(at)
+    made._written_at = at
+    return made
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again."""
+    for t in tables:
+        _drop(t.sparkSession, t._written_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
