@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from notegrain.llm.vantage import SLACK, Plan, _blocks, exact, index, joined, leaves, split_copies, tasks, tiles
 from notegrain.llm.vectors import WIDTH, name_of, unit, unpack
 from notegrain.operators.components import components
-from notegrain.plans.shared import written
+from notegrain.plans.shared import dropped, written
 
 LEAST = 0.78
 
@@ -223,7 +223,7 @@ def _wide_members(rows: DataFrame, least: float, dense: int) -> DataFrame:
         mean = F.round(F.col("w") / F.col("na") / F.col("nb"), 6)
         near = edges.withColumn("mean", mean).filter(F.col("mean") >= least)
         ways = [near.select("group_md5", F.col(x).alias("x"), F.struct((-F.col("mean")).alias("m"), F.col(y).alias("y"), F.col("n" + x).alias("nx"), F.col("n" + y).alias("ny")).alias("to")) for x, y in ("ab", "ba")]
-        best = written(ways[0].unionByName(ways[1]).groupBy("group_md5", "x").agg(F.min("to").alias("to")).select("group_md5", "x", "to.y", "to.nx", "to.ny"), "best")
+        best = best_ = written(ways[0].unionByName(ways[1]).groupBy("group_md5", "x").agg(F.min("to").alias("to")).select("group_md5", "x", "to.y", "to.nx", "to.ny"), "best")
         left = written(best.groupBy("group_md5").agg((F.count(F.lit(1)) <= max(2, dense // 2)).alias("fits")), "left")
         state = left.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("fits").cast("int")), F.lit(0))).first()
         if not state[0]:
@@ -245,7 +245,8 @@ def _wide_members(rows: DataFrame, least: float, dense: int) -> DataFrame:
         first = F.col("now_a") < F.col("now_b")
         pick = lambda c, x, y: F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
         moved = open_.filter("not fits").select("group_md5", pick("now", "a", "b").alias("a"), pick("now", "b", "a").alias("b"), pick("size", "a", "b").alias("na"), pick("size", "b", "a").alias("nb"), "w")
-        edges = written(moved.groupBy("group_md5", "a", "b", "na", "nb").agg(F.sum("w").alias("w")), "pairs")
+        old, edges = edges, written(moved.groupBy("group_md5", "a", "b", "na", "nb").agg(F.sum("w").alias("w")), "pairs")
+        dropped(old, best_, left, to)
     links = merges[0]
     for m in merges[1:]:
         links = links.unionByName(m)
