@@ -9,8 +9,8 @@ Triangle inequality: rows x and y whose angle is at most r, with y in the ball r
 angle(x, p) <= acos(HOME) + r. So x also visits every shard that has a point within acos(HOME) + factor * r.
 With factor 1 nothing is lost; a smaller factor prunes more. In many dimensions x, y and p meet nearly at
 right angles, cos(x, p) being close to cos(x, y) * cos(y, p), so half of r already loses next to nothing.
-Inside a shard, rows lie in the order of their angle to the shard's first row, and two tiles of rows are
-compared only if these angles can differ by no more than factor * r.
+Inside a shard, rows form a vantage-point tree, split at median angles down to tiles, and two tiles are compared
+only if their angles to every vantage point of the tree can differ by no more than factor * r.
 
 Bounds: at most MOST_POINTS vantage points are broadcast a level (88 floats each, 46 MB); a task gets at most
 two blocks of BLOCK rows of a shard, however large the shard (a shard that holds a third of all rows is cut
@@ -35,7 +35,7 @@ MOST_POINTS = 1 << 17
 RATES, COARSE = (1 / 64, 1 / 8), 1 << 14
 """Shares of the rows that are vantage points, level by level. Where the first share is more than COARSE points, a level of COARSE points goes before it: it takes the large clusters out, which few points find as well."""
 BLOCK, LAST_BLOCK, SMALL = 16384, 32768, 4096
-TILE = 1024
+TILE = 512
 SLACK = 2e-5
 """Above the error of float32 products of unit vectors; closer calls are repeated in double precision."""
 
@@ -221,18 +221,31 @@ def leaves(work: DataFrame, leaf, schema: str) -> DataFrame:
 
 def tiles(u: np.ndarray, side: np.ndarray, ring: float, tile: int = TILE):
     """The pairs of tiles to compare: slices of an order, and that order. Each unordered pair of rows meets once
-    (rows of one tile meet twice); of a two-block task only pairs across the blocks."""
-    angle = np.arccos(np.clip(u @ u[0], -1, 1))
-    order = np.lexsort((angle, side))
-    across = int((side == 0).sum())
-    a = angle[order]
-    cut = lambda lo, hi: [(i, min(i + tile, hi)) for i in range(lo, hi, tile)]
-    if across < len(u):
-        pairs = [(x, y) for x in cut(0, across) for y in cut(across, len(u))]
-    else:
-        own = cut(0, len(u))
-        pairs = [(x, y) for k, x in enumerate(own) for y in own[k:]]
-    return order, [(x, y) for x, y in pairs if a[y[0]] - a[x[1] - 1] <= ring + 1e-6 and a[x[0]] - a[y[1] - 1] <= ring + 1e-6]
+    (rows of one tile meet twice); of a two-block task only pairs across the blocks.
+
+    Tiles are the leaves of a vantage-point tree: each node splits its rows at the median of their angles to one of
+    them. Two leaves are left out if for any of these points their ranges of angles lie further apart than ``ring``."""
+    open_, parts, points = [np.arange(len(u))], [], []
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= tile:
+            parts += [p for k in (0, 1) if len(p := rows[side[rows] == k])]
+            continue
+        points.append(rows[len(rows) // 2])
+        by = rows[np.argsort(-(u[rows] @ u[points[-1]]), kind="stable")]
+        open_ += [by[len(by) // 2 :], by[: len(by) // 2]]
+    order, end = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    cut = list(zip((end - [len(p) for p in parts]).tolist(), end.tolist()))
+    far = np.zeros((len(parts), len(parts)), bool)
+    if points:
+        angle = np.arccos(np.clip(u[order] @ u[points].T, -1, 1))
+        low, high = (f.reduceat(angle, [a for a, _ in cut]) for f in (np.minimum, np.maximum))
+        for k in range(len(points)):
+            far |= low[None, :, k] - high[:, None, k] > ring + 1e-6
+        far |= far.T
+    across = len({int(side[p[0]]) for p in parts}) == 2
+    kept = [(i, j) for i in range(len(cut)) for j in range(i, len(cut)) if not far[i, j] and (not across or side[parts[i][0]] != side[parts[j][0]])]
+    return order, [(cut[i], cut[j]) for i, j in kept]
 
 
 def exact(x: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 18) -> np.ndarray:
