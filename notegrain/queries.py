@@ -10,6 +10,7 @@ from notegrain.functions import forms, melody, pitch, rhythm
 from notegrain.operators import catalog, iterate, profile, sampling, space
 from notegrain.plans.ops import bound
 from notegrain.plans.shared import table
+from notegrain.sources import roundtrips
 from notegrain.sources.bindings import BINDINGS
 from notegrain.streaming import live
 
@@ -126,6 +127,8 @@ s AS (SELECT sum((x - mx) * (x - mx)) + 300 AS xx, sum((z - mz) * (z - mz)) + 30
 w AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM s)
 SELECT md5, round(my - a * mx - b * mz + a * x + b * z, 6) AS predicted FROM m, c, w WHERE x IS NOT NULL AND z IS NOT NULL"""
 
+QUERIES |= roundtrips.QUERIES
+SQL |= roundtrips.SQL
 OPS = {op.name: op for family in (pitch, rhythm, melody, forms, catalog, sampling, space) for op in family.OPS}
 for _op in OPS.values():
     QUERIES[_op.name], SQL[_op.name] = bound(_op, BINDINGS)
