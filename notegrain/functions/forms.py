@@ -1,6 +1,6 @@
 """Deeper harmony and melody, phrase boundaries, arrangement and tiling, quality scores."""
 
-from notegrain.functions.pitch import _CHORD
+from notegrain.functions.pitch import _CHORD, chorded
 from notegrain.plans.ops import Op
 
 _TOP = "top AS (SELECT song, start, max(pitch) AS pitch FROM {notes} WHERE chan NOT IN (9, 10) GROUP BY song, start), iv AS (SELECT song, start, pitch, pitch - lag(pitch) OVER (PARTITION BY song ORDER BY start) AS d, start - lag(start) OVER (PARTITION BY song ORDER BY start) AS gap FROM top)"
@@ -35,3 +35,4 @@ OPS = [
     Op("feature_gate", "SELECT md5, (CASE WHEN has_drums = 1 THEN 1e0 ELSE 0e0 END) * (CASE WHEN bpm BETWEEN 100 AND 140 THEN 1e0 WHEN bpm BETWEEN 80 AND 160 THEN 6e-1 ELSE 3e-1 END) AS gate, CASE WHEN lyric_events_count > 0 THEN 15e-1 WHEN n_tracks > 8 THEN 12e-1 ELSE 1e0 END AS prior FROM {catalog}", "gate times soft band; prior"),
     Op("tick_rescale", "SELECT song, idx, CAST(floor(start * 96e1 / 48e1) AS BIGINT) AS start, CAST(greatest(floor(dur * 96e1 / 48e1), 1e0) AS BIGINT) AS dur FROM {notes}", "to another number of ticks a beat"),
 ]
+OPS = chorded(OPS)

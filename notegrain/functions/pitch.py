@@ -1,5 +1,7 @@
 """Pitch and harmony: histograms, entropy, keys, interval classes, chords, roughness."""
 
+from dataclasses import replace
+
 from notegrain.plans.ops import Op
 
 # Key profiles from C upwards, and chord templates in the order that breaks ties.
@@ -22,7 +24,17 @@ _PC = "pc AS (SELECT song, pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS n FROM
 _FULL = f"{_PC}, songs AS (SELECT DISTINCT song FROM h), grid AS (SELECT s.song, d.pc, coalesce(h.p, 0e0) AS p FROM songs s CROSS JOIN (VALUES {_PCS}) AS d(pc) LEFT JOIN h ON h.song = s.song AND h.pc = d.pc)"
 _RANKED = f"{_FULL}, prof AS (SELECT * FROM ({_values(_KEYS)}) AS k(key_id, key_name, pc, w)), r AS (SELECT g.song, k.key_id, k.key_name, round(corr(g.p, k.w), 9) AS r FROM grid g JOIN prof k ON k.pc = g.pc GROUP BY g.song, k.key_id, k.key_name), o AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY r DESC, key_id DESC) AS rn FROM r)"
 _WINDOW = "win AS (SELECT song, CAST(floor(start / 48e1) AS BIGINT) AS w, pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS n FROM {notes} GROUP BY song, CAST(floor(start / 48e1) AS BIGINT), pitch % 12), tot AS (SELECT song, w, sum(n) AS t, count(*) AS k FROM win GROUP BY song, w)"
-_CHORD = f"{_WINDOW}, tpl AS (SELECT * FROM ({_values(_CHORDS)}) AS c(chord_id, root, quality, pc, tone, size)), sc AS (SELECT x.song, x.w, c.chord_id, c.root, c.quality, round(sum(CASE WHEN c.tone = 1 THEN x.n ELSE -55e-2 * x.n END) / max(t.t) - 5e-2 * max(c.size), 9) AS score FROM win x JOIN tot t ON t.song = x.song AND t.w = x.w AND t.k >= 2 JOIN tpl c ON c.pc = x.pc GROUP BY x.song, x.w, c.chord_id, c.root, c.quality), seg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song, w ORDER BY score DESC, chord_id) AS rn FROM sc) q WHERE rn = 1)"
+_CHORD_CHECK = f"{_WINDOW}, tpl AS (SELECT * FROM ({_values(_CHORDS)}) AS c(chord_id, root, quality, pc, tone, size)), sc AS (SELECT x.song, x.w, c.chord_id, c.root, c.quality, round(sum(CASE WHEN c.tone = 1 THEN x.n ELSE -55e-2 * x.n END) / max(t.t) - 5e-2 * max(c.size), 9) AS score FROM win x JOIN tot t ON t.song = x.song AND t.w = x.w AND t.k >= 2 JOIN tpl c ON c.pc = x.pc GROUP BY x.song, x.w, c.chord_id, c.root, c.quality), seg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song, w ORDER BY score DESC, chord_id) AS rn FROM sc) q WHERE rn = 1)"
+_COUNTS = ", ".join(f"count_if(pitch % 12 = {i})" for i in range(12))
+_SHAPES = ", ".join(f"named_struct('id', {r * 8 + q}, 'root', {r}, 'quality', '{name}', 'less', {5 * len(tones)}e-2, 'tones', array({', '.join(str((r + t) % 12) for t in tones)}))" for r in range(12) for q, (name, tones) in enumerate(TEMPLATES))
+# One row a beat with its twelve counts; the templates are scored on it as literals: one shuffle, no explosion, no window.
+_CHORD = f"tpl AS (SELECT * FROM ({_values(_CHORDS)}) AS c(chord_id, root, quality, pc, tone, size)), cnt AS (SELECT song, CAST(floor(start / 48e1) AS BIGINT) AS w, array({_COUNTS}) AS n, CAST(count(*) AS DOUBLE) AS t FROM {{notes}} WHERE song IS NOT NULL AND start IS NOT NULL AND pitch IS NOT NULL GROUP BY song, CAST(floor(start / 48e1) AS BIGINT)), best AS (SELECT song, w, array_max(transform(array({_SHAPES}), c -> named_struct('score', round((aggregate(c.tones, 0L, (s, i) -> s + n[i]) * 155e-2 - 55e-2 * t) / t - c.less, 9), 'o', -c.id, 'root', c.root, 'quality', c.quality))) AS m FROM cnt WHERE size(filter(n, x -> x > 0)) >= 2), seg AS (SELECT song, w, -m.o AS chord_id, m.root AS root, m.quality AS quality, m.score AS score FROM best)"
+
+
+def chorded(ops: list[Op]) -> list[Op]:
+    """The operators on chords, with the text of joined templates for the checking engine."""
+    return [replace(op, check=(op.check or op.sql).replace(_CHORD, _CHORD_CHECK)) if _CHORD in op.sql else op for op in ops]
+
 
 OPS = [
     Op("pc_histogram", f"WITH {_PC} SELECT song, pc, round(p, 9) AS share FROM h", "share of each pitch class, drums left out"),
@@ -41,3 +53,4 @@ OPS = [
     Op("chord_summary", "WITH c AS (SELECT song, start, count(DISTINCT pitch % 12) AS k, min(pitch % 12) AS low FROM {notes} WHERE chan NOT IN (9, 10) GROUP BY song, start) SELECT song, count(CASE WHEN k > 1 THEN 1 END) AS n_chords, count(DISTINCT CASE WHEN k > 1 THEN k * 12 + low END) AS n_unique, max(k) AS widest, CASE WHEN count(DISTINCT CASE WHEN k > 1 THEN k * 12 + low END) = 0 THEN 'none' WHEN count(DISTINCT CASE WHEN k > 1 THEN k * 12 + low END) < 8 THEN 'low' WHEN count(DISTINCT CASE WHEN k > 1 THEN k * 12 + low END) < 25 THEN 'medium' ELSE 'high' END AS complexity FROM c GROUP BY song", "notes that sound together at one onset"),
     Op("triple_stats", "SELECT song, CAST(floor(avg(pitch)) AS BIGINT) AS pitch_avg, CAST(floor(median(pitch)) AS BIGINT) AS pitch_med, CAST(floor(avg(dur)) AS BIGINT) AS dur_avg, CAST(floor(median(dur)) AS BIGINT) AS dur_med, min(pitch) AS pitch_min, max(pitch) AS pitch_max, count(DISTINCT chan) AS n_voices FROM {notes} GROUP BY song", "truncated averages and medians"),
 ]
+OPS = chorded(OPS)

@@ -1,5 +1,7 @@
 """The catalog: manifest, flags, status, views, joins, splits, pools, rollups, gates."""
 
+from dataclasses import replace
+
 from notegrain.plans.ops import Op
 
 _HASH = "CAST(conv(substring(md5(concat(md5, '|{seed}')), 1, 8), 16, 10) AS DOUBLE) / 4294967296e0"
@@ -15,6 +17,11 @@ def _seeded(name: str, sql: str, what: str, seed: str) -> Op:
     return Op(name, sql.replace("<U>", _HASH.replace("{seed}", seed)), what, sql.replace("<U>", _HASH_C.replace("{seed}", seed)))
 
 
+def _first(op: Op) -> Op:
+    """<FIRST> is the first of a manifest row's sources."""
+    return replace(op, sql=op.sql.replace("<FIRST>", "try_element_at(sources, 1)"), check=(op.check or op.sql).replace("<FIRST>", "sources[1]"))
+
+
 OPS = [
     Op("dedup_manifest", "SELECT md5, min(path) AS stored_path, min(size) AS size, count(*) AS n_copies, array_join(array_sort(collect_set(source)), ';') AS sources, array_join(array_sort(collect_set(host)), ';') AS hosts FROM {inputs} GROUP BY md5", "one row for each content hash", "SELECT md5, min(path) AS stored_path, min(size) AS size, count(*) AS n_copies, string_agg(DISTINCT source, ';' ORDER BY source) AS sources, string_agg(DISTINCT host, ';' ORDER BY host) AS hosts FROM {inputs} GROUP BY md5"),
     Op("value_counts", "SELECT time_signature AS value, count(*) AS n FROM {metadata} GROUP BY time_signature ORDER BY n DESC, value LIMIT 20", "commonest values, null included", "SELECT time_signature AS value, count(*) AS n FROM {metadata} GROUP BY time_signature ORDER BY n DESC, value NULLS FIRST LIMIT 20"),
@@ -48,7 +55,7 @@ OPS = [
     Op("split_source_matrix", f"WITH {_SOURCE} SELECT source, count(CASE WHEN split = 'train' THEN 1 END) AS train, count(CASE WHEN split = 'val' THEN 1 END) AS val, count(CASE WHEN split = 'test' THEN 1 END) AS test FROM {{catalog}} c JOIN first_source s ON s.md5 = c.md5 GROUP BY source", "splits by first source", f"WITH {_SOURCE_C} SELECT source, count(CASE WHEN split = 'train' THEN 1 END) AS train, count(CASE WHEN split = 'val' THEN 1 END) AS val, count(CASE WHEN split = 'test' THEN 1 END) AS test FROM {{catalog}} c JOIN first_source s ON s.md5 = c.md5 GROUP BY source"),
     Op("rollup_sources", f"WITH {_SOURCE} SELECT source, has_drums, count(*) AS n, CAST(grouping(source) + grouping(has_drums) AS INT) AS level FROM {{catalog}} c JOIN first_source s ON s.md5 = c.md5 GROUP BY ROLLUP (source, has_drums)", "subtotals", f"WITH {_SOURCE_C} SELECT source, has_drums, count(*) AS n, CAST(grouping(source) + grouping(has_drums) AS INT) AS level FROM {{catalog}} c JOIN first_source s ON s.md5 = c.md5 GROUP BY ROLLUP (source, has_drums)"),
     Op("grouping_sets", "SELECT split, has_drums, count(*) AS n FROM {metadata} GROUP BY GROUPING SETS ((split), (has_drums), ())", "several groupings at once"),
-    _seeded("split_stratified", "WITH g AS (SELECT coalesce(song_id, md5) AS grp, min(md5) AS md5, min(has_drums) AS stratum FROM {catalog} GROUP BY coalesce(song_id, md5)), r AS (SELECT grp, stratum, row_number() OVER (PARTITION BY stratum ORDER BY <U>, grp) AS rn, count(*) OVER (PARTITION BY stratum) AS n FROM g) SELECT grp, CASE WHEN rn <= floor(n * 1e-1) THEN 'test' WHEN rn <= 2 * floor(n * 1e-1) THEN 'val' ELSE 'train' END AS split FROM r", "80/10/10 by song, within a stratum, by a hash", "split"),
+    _first(_seeded("split_stratified", "WITH f AS (SELECT md5, min(<FIRST>) AS source FROM {manifest} GROUP BY md5), q AS (SELECT coalesce(c.song_id, c.md5) AS grp, min(c.md5) AS md5, coalesce(min(f.source), '') AS part FROM {catalog} c LEFT JOIN f ON f.md5 = c.md5 GROUP BY coalesce(c.song_id, c.md5)), d AS (SELECT grp, part, <U> AS u FROM q), g AS (SELECT *, CAST(floor(u * 4096e0) AS BIGINT) AS k FROM d), n AS (SELECT part, k, count(*) AS m FROM g GROUP BY part, k), o AS (SELECT part, k, CAST(sum(m) OVER (PARTITION BY part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - m AS BIGINT) AS before, CAST(sum(m) OVER (PARTITION BY part) AS BIGINT) AS n FROM n), r AS (SELECT g.grp, o.n, o.before + row_number() OVER (PARTITION BY g.part, g.k ORDER BY g.u, g.grp) AS rn FROM g JOIN o ON o.part = g.part AND o.k = g.k) SELECT grp, CASE WHEN rn <= floor(n * 1e-1) THEN 'test' WHEN rn <= 2 * floor(n * 1e-1) THEN 'val' ELSE 'train' END AS split FROM r", "80/10/10 by song, within the first source, by a hash whose ranges are counted first", "split")),
     Op("tier_pools", "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN coalesce(bpm BETWEEN 20 AND 300, false) AND time_signature IS NOT NULL AND is_canonical = 1 THEN 'gold' WHEN coalesce(note_density > 40, false) OR n_notes < 100 THEN 'bronze' ELSE 'silver' END AS tier FROM {catalog}) t GROUP BY tier", "gold, bronze, else silver"),
     Op("quality_gate", "WITH c AS (SELECT 'row_count' AS name, CAST(count(*) AS DOUBLE) AS value, CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM {catalog} UNION ALL SELECT 'unique_key', CAST(count(*) - count(DISTINCT md5) AS DOUBLE), CASE WHEN count(*) = count(DISTINCT md5) THEN 'PASS' ELSE 'FAIL' END FROM {catalog} UNION ALL SELECT 'null_bpm', avg(CASE WHEN bpm IS NULL THEN 1e0 ELSE 0e0 END), CASE WHEN avg(CASE WHEN bpm IS NULL THEN 1e0 ELSE 0e0 END) < 1e-1 THEN 'PASS' ELSE 'WARN' END FROM {catalog} UNION ALL SELECT 'coverage', avg(CASE WHEN s.md5 IS NULL THEN 0e0 ELSE 1e0 END), CASE WHEN avg(CASE WHEN s.md5 IS NULL THEN 0e0 ELSE 1e0 END) > 9e-1 THEN 'PASS' ELSE 'WARN' END FROM {catalog} c LEFT JOIN (SELECT DISTINCT md5 FROM {signatures_ext}) s ON s.md5 = c.md5) SELECT name, round(value, 6) AS value, status FROM c", "one row a check"),
     Op("impact_report", "WITH x AS (SELECT md5, bpm AS now, first_value(bpm) OVER (PARTITION BY md5 ORDER BY loaded_at, n_notes, bpm) AS was, row_number() OVER (PARTITION BY md5 ORDER BY loaded_at DESC, n_notes DESC, bpm DESC) AS rn FROM {metadata} WHERE bpm < 1e9 AND NOT isnan(bpm)) SELECT count(*) AS n, round(avg(CASE WHEN now <> was THEN 1e0 ELSE 0e0 END), 6) AS changed, count(CASE WHEN abs(now - was) > 5 THEN 1 END) AS far FROM x WHERE rn = 1", "what a new load changed"),

@@ -1,18 +1,16 @@
-"""Operators that run in rounds: spherical k-means with fixed seeds, near-duplicate components, ridge by its Gramian."""
+"""Operators that run in rounds: spherical k-means with fixed seeds, near-duplicates, ridge by its Gramian."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from notegrain.operators.components import components
+from notegrain.operators.search import pairs_within
 from notegrain.plans.shared import written
 
 
-def _dot(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
-
-
 def _unit(v):
     return F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
 
@@ -20,34 +18,44 @@ def _unit(v):
 def kmeans(vectors: DataFrame, k: int = 16, rounds: int = 5, key: str = "vec_id", seed: str = "kmeans") -> DataFrame:
     """key, cluster, sim: spherical Lloyd rounds from ``k`` seeds drawn by a hash of the key.
 
-    The centroids (k rows) are broadcast; sums go through a map-side combined aggregate by cluster and dimension.
-    Vectors are ``v``, of unit length. Ties go to the smaller cluster."""
-    seeds = vectors.select(key, "v").orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed))), key).limit(k)
-    cent = [(i, list(r["v"])) for i, r in enumerate(seeds.collect())]  # k rows
-    if not cent:
-        return vectors.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("sim")).limit(0)
+    The centroids (k rows, a parameter) go to the workers, where a batch of vectors is one matrix product; a batch hands on
+    one sum a cluster, so a round shuffles k rows a task. Vectors are ``v``, of unit length; rows with a null key or
+    vector are left out. A cluster that loses all vectors keeps its centroid. Ties go to the smaller cluster."""
+    known = vectors.filter(F.col(key).isNotNull() & F.col("v").isNotNull()).select(key, "v")
+    seeds = known.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed))), key).limit(k)
+    cent = np.array([r["v"] for r in seeds.select("v").collect()])  # k rows
+    kind = known.schema[key].dataType.simpleString()
+    if not len(cent):
+        return known.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("sim"))
     spark = vectors.sparkSession
 
-    def nearest() -> DataFrame:
-        c = F.broadcast(spark.createDataFrame(cent, "cluster int, c array<double>"))
-        scored = vectors.select(key, "v").join(c).withColumn("sim", F.round(_dot("v", "c"), 9))
-        return scored.groupBy(key).agg(F.max(F.struct("sim", (-F.col("cluster")).alias("o"), "v")).alias("m")).select(key, (-F.col("m.o")).alias("cluster"), F.col("m.sim").alias("sim"), F.col("m.v").alias("v"))
+    def near(shared, sums: bool):
+        def run(batches):
+            c = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                s = np.round(x @ c.T, 9)
+                best = s.argmax(1)
+                if sums:
+                    total = np.zeros_like(c)
+                    np.add.at(total, best, x)
+                    there = np.unique(best)
+                    yield pa.RecordBatch.from_arrays([pa.array(there.astype("i4")), pa.array(list(total[there]), pa.list_(pa.float64()))], ["cluster", "v"])
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column(key), pa.array(best.astype("i4")), pa.array(s[np.arange(len(s)), best])], [key, "cluster", "sim"])
+
+        return run
 
     for _ in range(rounds):
-        sums = nearest().select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))
-        new = {r["cluster"]: list(r["v"]) for r in sums.select("cluster", _unit(F.transform("l", lambda e: e["x"])).alias("v")).collect()}
-        cent = [(i, new.get(i, c)) for i, c in cent]
-    return nearest().drop("v")
-
-
-def near_duplicates(vectors: DataFrame, least: float, block: str = "block", most_in_group: int = 50, key: str = "vec_id") -> DataFrame:
-    """key, group: components of pairs of at least ``least`` cosine within one block; groups above ``most_in_group`` are dissolved."""
-    a = vectors.select(F.col(block).alias("b"), F.col(key).alias("a"), F.col("v").alias("va"))
-    b = vectors.select(F.col(block).alias("b"), F.col(key).alias("c"), F.col("v").alias("vb"))
-    pairs = a.join(b, "b").filter("a < c").filter(F.round(_dot("va", "vb"), 9) >= least).select(F.col("a"), F.col("c").alias("b"))
-    label = components(pairs)
-    size = label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_in_group)
-    return label.join(size.select("label"), "label").select(F.col("node").alias(key), F.col("label").alias("group"))
+        parts = known.mapInArrow(near(spark.sparkContext.broadcast(cent), True), "cluster int, v array<double>")
+        total = parts.groupBy("cluster").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(cent.shape[1])]).alias("v"))
+        for r in total.collect():  # k rows
+            length = np.linalg.norm(r["v"])
+            if length > 0:
+                cent[r["cluster"]] = np.array(r["v"]) / length
+    return known.mapInArrow(near(spark.sparkContext.broadcast(cent), False), f"{key} {kind}, cluster int, sim double")
 
 
 def mutual_duplicates(vectors: DataFrame, least: float = 0.985, k: int = 12, classes: int = 12, active: int = 5, top: int = 4, most_in_group: int = 50, key: str = "vec_id") -> DataFrame:
@@ -60,9 +68,8 @@ def mutual_duplicates(vectors: DataFrame, least: float = 0.985, k: int = 12, cla
     which they cannot change."""
     pc = F.transform(F.slice("v", 1, classes), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     ranked = F.transform(F.slice(F.reverse(F.array_sort(pc)), 1, top), lambda e: e["i"])
-    rows = vectors.filter(F.size(F.filter(F.slice("v", 1, classes), lambda x: x > 0)) >= active).select(F.array_join(ranked.cast("array<string>"), ",").alias("b"), F.col(key).alias("a"), _unit(F.col("v")).alias("va"))
-    other = rows.select("b", F.col("a").alias("c"), F.col("va").alias("vb"))
-    pairs = written(rows.join(other, "b").filter("a < c").withColumn("sim", F.round(_dot("va", "vb"), 9)).filter(F.col("sim") >= least).select("a", "c", "sim"), "near")
+    rows = vectors.filter(F.size(F.filter(F.slice("v", 1, classes), lambda x: x > 0)) >= active).select(F.array_join(ranked.cast("array<string>"), ",").alias("same"), key, _unit(F.col("v")).alias("v"))
+    pairs = written(pairs_within(rows, "same", least, key).select("a", F.col("b").alias("c"), "sim"), "near")
     ways = pairs.unionByName(pairs.select(F.col("c").alias("a"), F.col("a").alias("c"), "sim"))
     near = ways.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "c"))).filter(F.col("r") < k)
     mutual = near.groupBy(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("a", "b")

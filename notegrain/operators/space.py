@@ -12,7 +12,6 @@ def _vec(name: str, sql: str, what: str) -> Op:
     return Op(name, re.sub(r"<([\w.]+)\*([\w.]+)>", lambda m: _DOT.format(a=m[1], b=m[2]), sql), what, re.sub(r"<([\w.]+)\*([\w.]+)>", r"list_dot_product(\1, \2)", sql))
 
 
-_KNN = "q AS (SELECT vec_id, v FROM {sig} WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS q, b.vec_id AS b, b.label, round(<q.v*b.v>, 9) AS sim FROM q JOIN {sig} b ON b.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, b) AS rn FROM s)"
 _CENT = "c AS (SELECT label, i, avg(x) AS m FROM {sigl} GROUP BY label, i), n AS (SELECT label, sqrt(sum(m * m)) AS len FROM c GROUP BY label), u AS (SELECT c.label, c.i, c.m / n.len AS x FROM c JOIN n ON n.label = c.label)"
 
 def _set_ratio() -> Op:
@@ -24,17 +23,16 @@ OPS = [
     Op("scaler_stats", "SELECT i, round(avg(x), 6) AS mu, round(stddev_pop(x), 6) AS sd, round(median(x), 6) AS med, round(min(x), 6) AS lo, round(max(x), 6) AS hi FROM {sigl} GROUP BY i", "per-dimension statistics"),
     Op("scaler_logged", "WITH l AS (SELECT 'bpm' AS col, bpm AS x FROM {catalog} WHERE bpm < 1e9 UNION ALL SELECT 'density', note_density FROM {catalog} WHERE note_density < 1e9 UNION ALL SELECT 'notes', CAST(n_notes AS DOUBLE) FROM {catalog}), f AS (SELECT col, CASE WHEN min(x) >= 0 AND max(x) > 50 THEN 1 ELSE 0 END AS logged FROM l GROUP BY col), g AS (SELECT l.col, f.logged, CASE WHEN f.logged = 1 THEN ln(1e0 + l.x) ELSE l.x END AS x FROM l JOIN f ON f.col = l.col) SELECT col, logged, round(median(x), 6) AS med, round(avg(x), 6) AS mu, round(stddev_pop(x), 6) AS sd FROM g GROUP BY col, logged", "log where nonnegative and wide, then median, mean, deviation"),
     Op("scaled_block", "WITH st AS (SELECT i, avg(x) AS mu, stddev_pop(x) AS sd FROM {sigl} GROUP BY i), z AS (SELECT l.vec_id, l.i, CASE WHEN st.sd <= 1e-12 THEN 0e0 ELSE greatest(-8e0, least(8e0, (l.x - st.mu) / st.sd)) END AS z FROM {sigl} l JOIN st ON st.i = l.i) SELECT vec_id, round(sqrt(sum(z * z)), 4) AS len, round(min(z), 4) AS lo, round(max(z), 4) AS hi FROM z GROUP BY vec_id", "standardised and clipped"),
-    _vec("knn_cosine", f"WITH {_KNN} SELECT q, b, sim FROM r WHERE rn <= 10", "ten nearest of every fiftieth vector, exact"),
-    _vec("density_frontier", f"WITH {_KNN} SELECT q, round(1e0 - avg(sim), 6) AS frontier FROM r WHERE rn <= 25 GROUP BY q", "one less the mean of the 25 nearest"),
-    _vec("radius_calibration", f"WITH {_KNN} SELECT round(median(sim), 6) AS radius FROM r WHERE rn = 50", "median similarity of the 50th neighbour"),
-    _vec("neighbour_label", f"WITH {_KNN} SELECT q, label FROM r WHERE rn = 1", "label of the nearest"),
-    _vec("neighbour_band", f"WITH {_KNN} SELECT q, b, sim FROM r WHERE sim BETWEEN 1e-1 AND 9e-1 AND rn <= 20", "nearest within a band"),
-    _vec("neighbourhood_agreement", f"WITH {_KNN}, l AS (SELECT q, label, count(*) AS n FROM r WHERE rn <= 11 GROUP BY q, label) SELECT q, max(n) / 11e0 AS agreement FROM l GROUP BY q", "share of the commonest label among 11"),
+    Op("knn_cosine", "SELECT q, b, sim FROM {near} WHERE rn <= 10", "ten nearest of every fiftieth vector, exact"),
+    Op("density_frontier", "SELECT q, round(1e0 - avg(sim), 6) AS frontier FROM {near} WHERE rn <= 25 GROUP BY q", "one less the mean of the 25 nearest"),
+    Op("radius_calibration", "SELECT round(median(sim), 6) AS radius FROM {near} WHERE rn = 50", "median similarity of the 50th neighbour"),
+    Op("neighbour_label", "SELECT q, label FROM {near} WHERE rn = 1", "label of the nearest"),
+    Op("neighbour_band", "SELECT q, b, sim FROM {near} WHERE sim BETWEEN 1e-1 AND 9e-1 AND rn <= 20", "nearest within a band"),
+    Op("neighbourhood_agreement", "WITH l AS (SELECT q, label, count(*) AS n FROM {near} WHERE rn <= 11 GROUP BY q, label) SELECT q, max(n) / 11e0 AS agreement FROM l GROUP BY q", "share of the commonest label among 11"),
     Op("cluster_centroids", f"WITH {_CENT} SELECT label, i, round(x, 6) AS x FROM u", "unit centroids"),
     Op("cluster_tightness", f"WITH {_CENT}, s AS (SELECT l.label, l.vec_id, sum(l.x * u.x) AS sim FROM {{sigl}} l JOIN u ON u.label = l.label AND u.i = l.i GROUP BY l.label, l.vec_id) SELECT label, count(*) AS size, round(1e0 - avg(sim), 6) AS tightness FROM s GROUP BY label", "size and tightness"),
     Op("cluster_reps", f"WITH {_CENT}, s AS (SELECT l.label, l.vec_id, round(sum(l.x * u.x), 9) AS sim FROM {{sigl}} l JOIN u ON u.label = l.label AND u.i = l.i GROUP BY l.label, l.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rn FROM s) SELECT label, rn, vec_id FROM r WHERE rn <= 5", "five nearest the centroid"),
     Op("centroid_isolation", f"WITH {_CENT}, p AS (SELECT a.label, b.label AS other, round(sum(a.x * b.x), 9) AS sim FROM u a JOIN u b ON b.i = a.i AND b.label <> a.label GROUP BY a.label, b.label), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, other) AS rn FROM p) SELECT label, other AS nearest_other, round(1e0 - sim, 6) AS isolation FROM r WHERE rn = 1", "nearest other centroid"),
-    Op("empty_blends", f"WITH {_CENT}, p AS (SELECT a.label AS a, b.label AS b, sum(a.x * b.x) AS sim FROM u a JOIN u b ON b.i = a.i AND b.label > a.label GROUP BY a.label, b.label), m AS (SELECT p.a, p.b, p.sim, x.i, x.x + y.x AS v FROM p JOIN u x ON x.label = p.a JOIN u y ON y.label = p.b AND y.i = x.i), len AS (SELECT a, b, sqrt(sum(v * v)) AS len FROM m GROUP BY a, b), s AS (SELECT m.a, m.b, max(m.sim) AS pair_sim, l.vec_id, sum(m.v * l.x) / max(len.len) AS sim FROM m JOIN len ON len.a = m.a AND len.b = m.b JOIN {{sigl}} l ON l.i = m.i GROUP BY m.a, m.b, l.vec_id) SELECT a, b, round(max(pair_sim), 6) AS pair_sim, count(CASE WHEN sim >= 3e-1 THEN 1 END) AS population, round(max(sim), 6) AS nearest_sim FROM s GROUP BY a, b", "midpoints of centroid pairs: who lives there"),
     Op("isolated_pockets", "SELECT cluster_id, size, isolation FROM {cluster_summary} WHERE size >= 30 ORDER BY isolation DESC, cluster_id LIMIT 60", "isolated clusters of some size"),
     Op("corner_scores", "WITH e AS (SELECT cluster_id, pos, md5 FROM (SELECT cluster_id, posexplode(split(reps, ';')) AS (pos, md5) FROM {cluster_summary} WHERE reps IS NOT NULL) x WHERE pos < 3) SELECT e.cluster_id, count(*) AS n, round(avg(c.n_notes), 6) AS score, max(CASE WHEN c.has_drums = 1 THEN 1 ELSE 0 END) AS gate FROM e JOIN {catalog} c ON c.md5 = e.md5 GROUP BY e.cluster_id", "mean over the three nearest, with a gate", "WITH e AS (SELECT cluster_id, pos, md5 FROM (SELECT cluster_id, unnest(range(len(string_split(reps, ';')))) AS pos, unnest(string_split(reps, ';')) AS md5 FROM {cluster_summary} WHERE reps IS NOT NULL) x WHERE pos < 3) SELECT e.cluster_id, count(*) AS n, round(avg(c.n_notes), 6) AS score, max(CASE WHEN c.has_drums = 1 THEN 1 ELSE 0 END) AS gate FROM e JOIN {catalog} c ON c.md5 = e.md5 GROUP BY e.cluster_id"),
     Op("love_composite", "SELECT md5, round((8 * n_tracks + has_drums + n_distinct_patches) / 10e0, 6) AS love FROM {catalog}", "weighted axes"),

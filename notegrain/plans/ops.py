@@ -8,6 +8,7 @@ Number literals with a fraction are written with an exponent, which makes them d
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ class Binding:
     sql: str
     check: str | None = None
     tables: tuple[str, ...] = field(default=())
+    build: Callable[[SparkSession, str], DataFrame] | None = None
+    """Makes the input where SQL does not; ``check`` then has its text for the checking engine."""
 
 
 def _names(text: str) -> list[str]:
@@ -52,6 +55,8 @@ def bound(op: Op, bindings: dict[str, Binding]):
         b = bindings.get(name)
         if b is None:
             return table(spark, d, name)
+        if b.build:
+            return b.build(spark, d)
         return spark.sql(b.sql, **{n: make(spark, d, n) for n in _names(b.sql)})
 
     def run(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from notegrain.functions import forms, melody, pitch, rhythm
-from notegrain.operators import catalog, iterate, profile, sampling, space
+from notegrain.operators import catalog, iterate, profile, sampling, search, space
+from notegrain.operators.components import components
 from notegrain.plans.ops import bound
 from notegrain.plans.shared import table
 from notegrain.sources import roundtrips
@@ -15,6 +16,10 @@ from notegrain.sources.bindings import BINDINGS
 from notegrain.streaming import live
 
 
+# the test vectors lie further apart than signatures do
+BLEND = {"low": -0.3, "high": 0.75, "radius": 0.3, "coherent": 0.3}
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.departures(table(spark, d, "metadata"), table(spark, d, "column_baseline"))
 
@@ -31,8 +36,14 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     return iterate.kmeans(_unit_vectors(spark, d))
 
 
-def neardup_components(spark: SparkSession, d: str) -> DataFrame:
-    return iterate.near_duplicates(_unit_vectors(spark, d), 0.2, "label", 1_000_000)
+def neighbour_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the links from every fiftieth vector to its three nearest."""
+    near = BINDINGS["near"].build(spark, d).filter("rn <= 3")
+    return components(near.select(F.col("q").alias("a"), "b")).select(F.col("node").alias("vec_id"), F.col("label").alias("group"))
+
+
+def empty_blends(spark: SparkSession, d: str) -> DataFrame:
+    return search.empty_blends(_unit_vectors(spark, d), low=BLEND["low"], high=BLEND["high"], radius=BLEND["radius"], coherent=BLEND["coherent"], top=100)
 
 
 def mutual_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +74,7 @@ def stream_unseen(spark: SparkSession, d: str) -> DataFrame:
     return live.drain(live.unseen(_event_stream(spark, d), "event_id", "ts", "400 days")).select("event_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_profile, kmeans_clusters, neardup_components, mutual_duplicates, ridge_predictions, stream_hourly, stream_latest, stream_unseen)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_profile, kmeans_clusters, neighbour_components, empty_blends, mutual_duplicates, ridge_predictions, stream_hourly, stream_latest, stream_unseen)}
 SQL: dict[str, str] = {}
 
 _LONG = """
@@ -115,11 +126,45 @@ FROM u
 SQL["stream_hourly"] = "SELECT date_trunc('hour', ts) AS at, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
 SQL["stream_latest"] = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"
 SQL["stream_unseen"] = "SELECT DISTINCT event_id FROM events"
-SQL["neardup_components"] = f"""
-WITH RECURSIVE sig AS ({BINDINGS["sig"].check.format(embeddings="embeddings")}),
-e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sig a JOIN sig b ON a.label = b.label AND a.vec_id <> b.vec_id AND round(list_dot_product(a.v, b.v), 9) >= 0.2),
+_SIG = BINDINGS["sig"].check.format(embeddings="embeddings")
+_NEAR = BINDINGS["near"].check.format(sig="sig")
+SQL["neighbour_components"] = f"""
+WITH RECURSIVE sig AS ({_SIG}), near AS ({_NEAR}), e AS (SELECT q AS a, b FROM near WHERE rn <= 3 UNION SELECT b, q FROM near WHERE rn <= 3),
 r(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b)
 SELECT node AS vec_id, min(label) AS "group" FROM (SELECT node, label FROM r UNION ALL SELECT a, a FROM e) x GROUP BY node"""
+_UNIT_SUM = "list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))"
+_MEAN = "SELECT {by}, count(*) AS size, [{sums}] AS v FROM {rows} GROUP BY {by}"
+_SUMS = ", ".join(f"sum(v[{i + 1}])" for i in range(64))
+SQL["empty_blends"] = f"""
+WITH sig AS ({_SIG}), c AS MATERIALIZED (SELECT label::BIGINT AS label, size, {_UNIT_SUM} AS v FROM ({_MEAN.format(by="label", sums=_SUMS, rows="sig")}) s),
+k AS (SELECT * FROM c WHERE size >= (SELECT median(size) FROM c)),
+p AS (SELECT a.label AS a, b.label AS b, round(list_dot_product(a.v, b.v), 9) AS pair_sim, list_transform(range(64), lambda i: a.v[i + 1] + b.v[i + 1]) AS v FROM k a JOIN k b ON a.label < b.label),
+m AS MATERIALIZED (SELECT a, b, pair_sim, {_UNIT_SUM} AS v FROM p WHERE pair_sim BETWEEN {BLEND["low"]} AND {BLEND["high"]}),
+s AS (SELECT m.a, m.b, m.pair_sim, round(list_dot_product(m.v, sig.v), 9) AS sim FROM m, sig)
+SELECT a, b, round(max(pair_sim), 6) AS pair_sim, count(*) FILTER (sim >= {BLEND["radius"]}) AS population, round(max(sim), 6) AS nearest_sim FROM s GROUP BY a, b HAVING max(sim) >= {BLEND["coherent"]}
+ORDER BY population, max(sim) DESC, a, b LIMIT 100"""
+SQL["mutual_duplicates"] = f"""
+WITH RECURSIVE sig AS ({_SIG}),
+w AS (SELECT vec_id, {_UNIT_SUM} AS v, list_transform(list_slice(list_reverse_sort(list_transform(range(12), lambda i: {{'x': v[i + 1], 'i': i}})), 1, 4), lambda e: e.i) AS same FROM sig WHERE len(list_filter(v[1:12], lambda x: x > 0)) >= 5),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 9) AS sim FROM w a JOIN w b ON a.same = b.same AND a.vec_id <> b.vec_id),
+n AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM p WHERE sim >= 0.985) x WHERE r < 12),
+e AS (SELECT n.a, n.b FROM n JOIN n AS o ON o.a = n.b AND o.b = n.a),
+r(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b),
+l AS (SELECT node, min(label) AS label FROM (SELECT node, label FROM r UNION ALL SELECT a, a FROM e) x GROUP BY node),
+k AS (SELECT node, label FROM l WHERE label IN (SELECT label FROM l GROUP BY label HAVING count(*) <= 50))
+SELECT sig.vec_id, coalesce(k.label, sig.vec_id) AS "group" FROM sig LEFT JOIN k ON k.node = sig.vec_id"""
+
+
+def _kmeans_sql(k: int = 16, rounds: int = 5) -> str:
+    parts = [f"sig AS MATERIALIZED ({_SIG})", f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY md5(vec_id::VARCHAR || '|kmeans'), vec_id) - 1)::INT AS cluster, v FROM sig ORDER BY cluster LIMIT {k})"]
+    scored = "SELECT s.vec_id, s.v, c.cluster, round(list_dot_product(s.v, c.v), 9) AS sim FROM sig s, c{r} c QUALIFY row_number() OVER (PARTITION BY s.vec_id ORDER BY sim DESC, cluster) = 1"
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({scored.format(r=r)})")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT cluster, {_UNIT_SUM} AS v FROM ({_MEAN.format(by='cluster', sums=_SUMS, rows=f'a{r}')}) s) n USING (cluster))")
+    return f"WITH {', '.join(parts)} SELECT vec_id, cluster, sim FROM ({scored.format(r=rounds)}) x"
+
+
+SQL["kmeans_clusters"] = _kmeans_sql()
 SQL["ridge_predictions"] = """
 WITH m AS (SELECT md5, max(n_tracks)::DOUBLE AS x, max(n_distinct_patches)::DOUBLE AS z, max(n_notes)::DOUBLE AS y FROM metadata GROUP BY md5),
 c AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM m WHERE x + y + z IS NOT NULL),

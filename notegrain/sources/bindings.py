@@ -5,7 +5,9 @@ pitches. tempos: song, seq, tick, bpm. songs: the catalog. inputs: one row for e
 label, v (unit length, doubles). ratings: key, axis scores, time.
 """
 
+from notegrain.operators.search import nearest
 from notegrain.plans.ops import Binding
+from notegrain.plans.shared import table
 
 TICKS = 480
 
@@ -22,4 +24,11 @@ BINDINGS = {
     "ratings": Binding("SELECT md5, song_id, load_id AS version, loaded_at AS rated_at, bpm, note_density, duration_sec, row_id FROM (SELECT *, n_notes AS row_id FROM {metadata})"),
     "catalog": Binding("SELECT md5, song_id, split, load_id, loaded_at, is_canonical, arrangement_rank, CASE WHEN isnan(bpm) THEN NULL ELSE bpm END AS bpm, CASE WHEN isnan(note_density) THEN NULL ELSE note_density END AS note_density, CASE WHEN isnan(duration_sec) THEN NULL ELSE duration_sec END AS duration_sec, time_signature, n_tracks, n_notes, has_drums, n_distinct_patches, midi_patches, pitch_min, pitch_max, n_distinct_chords, avg_vel, tempo_change_count, lyric_events_count FROM (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY loaded_at DESC, n_notes, bpm, note_density, duration_sec, time_signature, split, is_canonical) AS rn FROM {metadata}) WHERE rn = 1",
                        "SELECT md5, song_id, split, load_id, loaded_at, is_canonical, arrangement_rank, CASE WHEN isnan(bpm) THEN NULL ELSE bpm END AS bpm, CASE WHEN isnan(note_density) THEN NULL ELSE note_density END AS note_density, CASE WHEN isnan(duration_sec) THEN NULL ELSE duration_sec END AS duration_sec, time_signature, n_tracks, n_notes, has_drums, n_distinct_patches, midi_patches, pitch_min, pitch_max, n_distinct_chords, avg_vel, tempo_change_count, lyric_events_count FROM (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY loaded_at DESC, n_notes NULLS FIRST, bpm NULLS FIRST, note_density NULLS FIRST, duration_sec NULLS FIRST, time_signature NULLS FIRST, split NULLS FIRST, is_canonical NULLS FIRST) AS rn FROM metadata) WHERE rn = 1"),
+    "near": Binding("", "SELECT q, b, label, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, b) AS rn FROM (SELECT q.vec_id AS q, b.vec_id AS b, b.label, round(list_dot_product(q.v, b.v), 9) AS sim FROM {sig} q JOIN {sig} b ON q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id) s QUALIFY rn <= 50", build=lambda spark, d: _near(spark, d)),
 }
+
+
+def _near(spark, d):
+    """The 50 nearest of every fiftieth vector."""
+    rows = spark.sql(BINDINGS["sig"].sql, embeddings=table(spark, d, "embeddings"))
+    return nearest(rows.filter("vec_id % 50 = 0"), rows, 50)
