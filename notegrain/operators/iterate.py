@@ -102,3 +102,58 @@ def ridge_predictions(rows: DataFrame, key: str, features: list[str], target: st
         value = value + F.lit(w[c]) * F.col(c).cast("double")
     return rows.select(key, F.round(value, 6).alias("predicted")).dropna()
 
+
+def plane(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+    """key, x, y: the two directions of most variance (a linear stand-in for a nonlinear map).
+
+    One pass adds up each batch's sum and products (dimensions squared numbers), the axes come from them on the driver,
+    and a second pass projects; the sign of an axis makes its largest component positive. Null keys and vectors are left out."""
+    known = vectors.filter(F.col(key).isNotNull() & F.col("v").isNotNull()).select(key, "v")
+    first = known.select(F.size("v").alias("d")).first()
+    kind = known.schema[key].dataType.simpleString()
+    if first is None:
+        return known.select(key, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    d = first["d"]
+
+    def matrix(b) -> np.ndarray:
+        return b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+    def products(batches):
+        n, s, p = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            x = matrix(b)
+            n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s], pa.list_(pa.float64())), pa.array([p.reshape(-1)], pa.list_(pa.float64()))], ["n", "s", "p"])
+
+    parts = known.select("v").mapInArrow(products, "n bigint, s array<double>, p array<double>").collect()  # one row a partition, dimensions squared numbers
+    n = sum(r["n"] for r in parts)
+    mean = np.sum([r["s"] for r in parts], 0) / n
+    cov = np.sum([r["p"] for r in parts], 0).reshape(d, d) / n - np.outer(mean, mean)
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(axes.shape[1])])
+
+    def project(batches):
+        for b in batches:
+            if b.num_rows:
+                xy = (matrix(b) - mean) @ axes
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(xy[:, 0]), pa.array(xy[:, 1] if d > 1 else np.zeros(len(xy)))], [key, "x", "y"])
+
+    return known.mapInArrow(project, f"{key} {kind}, x double, y double")
+
+
+def boosted_predictions(rows: DataFrame, key: str, features: list[str], target: str, most: int = 100_000, trees: int = 20, depth: int = 4) -> DataFrame:
+    """key, predicted: by boosted trees, of every row whose features are known.
+
+    Trees are fitted on at most about ``most`` of the rows with a known target, drawn by a hash of the key."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    known = rows.select(key, *[F.col(c).cast("double").alias(c) for c in [*features, target]]).dropna(subset=features)
+    ready = VectorAssembler(inputCols=features, outputCol="features").transform(known)
+    labelled = ready.filter(F.col(target).isNotNull())
+    n = labelled.count()
+    if not n:
+        return known.select(key, F.lit(None).cast("double").alias("predicted"))
+    some = labelled.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(min(1.0, most / n) * (1 << 20))))
+    model = GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, seed=1).fit(some)
+    return model.transform(ready).select(key, F.col("prediction").alias("predicted"))

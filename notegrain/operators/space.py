@@ -37,7 +37,6 @@ OPS = [
     Op("corner_scores", "WITH e AS (SELECT cluster_id, pos, md5 FROM (SELECT cluster_id, posexplode(split(reps, ';')) AS (pos, md5) FROM {cluster_summary} WHERE reps IS NOT NULL) x WHERE pos < 3) SELECT e.cluster_id, count(*) AS n, round(avg(c.n_notes), 6) AS score, max(CASE WHEN c.has_drums = 1 THEN 1 ELSE 0 END) AS gate FROM e JOIN {catalog} c ON c.md5 = e.md5 GROUP BY e.cluster_id", "mean over the three nearest, with a gate", "WITH e AS (SELECT cluster_id, pos, md5 FROM (SELECT cluster_id, unnest(range(len(string_split(reps, ';')))) AS pos, unnest(string_split(reps, ';')) AS md5 FROM {cluster_summary} WHERE reps IS NOT NULL) x WHERE pos < 3) SELECT e.cluster_id, count(*) AS n, round(avg(c.n_notes), 6) AS score, max(CASE WHEN c.has_drums = 1 THEN 1 ELSE 0 END) AS gate FROM e JOIN {catalog} c ON c.md5 = e.md5 GROUP BY e.cluster_id"),
     Op("love_composite", "SELECT md5, round((8 * n_tracks + has_drums + n_distinct_patches) / 10e0, 6) AS love FROM {catalog}", "weighted axes"),
     Op("invention_score", "SELECT cluster_id, CASE WHEN size >= 10 THEN round(6e-1 * (1e0 - tightness) + 4e-1 * isolation, 6) END AS score, CASE WHEN size >= 10 AND 1e0 - tightness > 0 THEN 'keep' ELSE 'discard' END AS status FROM {cluster_summary}", "gain and love; no score if the gate fails"),
-    Op("archetype_match", "WITH a AS (SELECT 'rock' AS name, 12e1 AS bpm, 8e0 AS d UNION ALL SELECT 'waltz', 9e1, 4e0 UNION ALL SELECT 'surf', 16e1, 14e0), s AS (SELECT c.md5, a.name, row_number() OVER (PARTITION BY c.md5 ORDER BY round(power((c.bpm - a.bpm) / 4e1, 2) + power((c.note_density - a.d) / 4e0, 2), 9), a.name) AS rn FROM {catalog} c CROSS JOIN a WHERE c.bpm < 1e9 AND c.note_density < 1e9) SELECT md5, name FROM s WHERE rn = 1", "nearest of a few archetypes"),
     Op("cv_correlation", "WITH f AS (SELECT md5, ascii(substring(md5, 1, 1)) % 5 AS fold, ln(1e0 + n_notes) AS y, ln(1e0 + duration_sec) AS x FROM {catalog} WHERE duration_sec BETWEEN 1 AND 3600), t AS (SELECT a.fold, avg(b.x) AS mx, avg(b.y) AS my, (avg(b.x * b.y) - avg(b.x) * avg(b.y)) / (avg(b.x * b.x) - avg(b.x) * avg(b.x) + 1e-6) AS slope FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON b.fold <> a.fold GROUP BY a.fold), p AS (SELECT f.fold, f.y, t.my + t.slope * (f.x - t.mx) AS yhat FROM f JOIN t ON t.fold = f.fold) SELECT fold, round(corr(y, yhat), 6) AS r, round(avg(abs(y - yhat)), 6) AS mae FROM p GROUP BY fold", "ridge of one feature, five folds"),
     Op("ridge_gramian", "SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x), 6) AS g FROM {sigl} a JOIN {sigl} b ON b.vec_id = a.vec_id AND b.i >= a.i GROUP BY a.i, b.i", "products of feature columns for closed-form regression"),
     Op("map_payload", "WITH p AS (SELECT percentile(n_notes, 2e-3) AS lo, percentile(n_notes, 998e-3) AS hi FROM {catalog}) SELECT c.md5, round(greatest(-5e-2, least(105e-2, (c.n_notes - p.lo) / (p.hi - p.lo + 1e-9))), 6) AS x FROM {catalog} c CROSS JOIN p", "normalised by outer percentiles", "WITH p AS (SELECT quantile_cont(n_notes, 2e-3) AS lo, quantile_cont(n_notes, 998e-3) AS hi FROM {catalog}) SELECT c.md5, round(greatest(-5e-2, least(105e-2, (c.n_notes - p.lo) / (p.hi - p.lo + 1e-9))), 6) AS x FROM {catalog} c CROSS JOIN p"),

@@ -77,6 +77,8 @@ def bound(op: Op, bindings: dict[str, Binding]):
     body = text.format(**{n: n for n in _names(text)})
     head = ", ".join(f"{n} AS ({s})" for n, s in with_.items())
     stripped = body.strip()
+    if head and stripped[:15].upper() == "WITH RECURSIVE ":
+        return run, f"WITH RECURSIVE {head}, {stripped[15:]}"
     if head and stripped[:5].upper() == "WITH ":
         return run, f"WITH {head}, {stripped[5:]}"
     return run, (f"WITH {head} {stripped}" if head else stripped)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from notegrain.functions import forms, melody, pitch, rhythm
-from notegrain.operators import catalog, iterate, profile, sampling, search, space
+from notegrain.functions import forms, melody, pitch, rhythm, whole
+from notegrain.operators import catalog, corners, iterate, profile, sampling, search, space
 from notegrain.operators.components import components
-from notegrain.plans.ops import bound
-from notegrain.plans.shared import table
+from notegrain.plans.ops import Binding, Op, bound
+from notegrain.plans.shared import table, written
 from notegrain.sources import roundtrips
 from notegrain.sources.bindings import BINDINGS
 from notegrain.streaming import live
@@ -74,7 +75,33 @@ def stream_unseen(spark: SparkSession, d: str) -> DataFrame:
     return live.drain(live.unseen(_event_stream(spark, d), "event_id", "ts", "400 days")).select("event_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_profile, kmeans_clusters, neighbour_components, empty_blends, mutual_duplicates, ridge_predictions, stream_hourly, stream_latest, stream_unseen)}
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user and kind of event; a last row per group, later than the watermark, closes them."""
+    got = live.drain(live.sessions(_event_stream(spark, d), "ts", ["user_id", "event_type"], "30 minutes"), "complete")
+    return got.select(F.col("at").cast("timestamp_ntz").alias("at"), F.col("ends").cast("timestamp_ntz").alias("ends"), "user_id", "event_type", "n")
+
+
+def stream_restarted(spark: SparkSession, d: str) -> DataFrame:
+    """Events that arrive in four files, one run of the stream a file, each going on from the checkpoint: no event twice, none lost."""
+    return live.restarted(table(spark, d, "events").select("event_id", "user_id", "value"), "event_id", 4)
+
+
+def plane(spark: SparkSession, d: str) -> DataFrame:
+    return iterate.plane(_unit_vectors(spark, d))
+
+
+def plane_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Of the plane: mean and mean product of its coordinates, which are 0 for the means and for the product of the two."""
+    p = iterate.plane(_unit_vectors(spark, d))
+    return p.agg(F.round(F.abs(F.avg("x")), 6).alias("x_mean"), F.round(F.abs(F.avg("y")), 6).alias("y_mean"), F.round(F.abs(F.avg(F.col("x") * F.col("y"))), 6).alias("xy"), (F.var_pop("x") >= F.var_pop("y")).alias("ordered"), F.count(F.lit(1)).alias("n"))
+
+
+def boosted_predictions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "metadata").groupBy("md5").agg(*[F.max(c).alias(c) for c in ("n_tracks", "n_distinct_patches", "has_drums", "n_notes")])
+    return iterate.boosted_predictions(rows, "md5", ["n_tracks", "n_distinct_patches", "has_drums"], "n_notes")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_profile, kmeans_clusters, neighbour_components, empty_blends, mutual_duplicates, ridge_predictions, stream_hourly, stream_latest, stream_unseen, stream_sessions, stream_restarted, plane, plane_axes, boosted_predictions)}
 SQL: dict[str, str] = {}
 
 _LONG = """
@@ -125,6 +152,12 @@ FROM u
 
 SQL["stream_hourly"] = "SELECT date_trunc('hour', ts) AS at, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
 SQL["stream_latest"] = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"
+SQL["stream_restarted"] = "SELECT event_id, user_id, value FROM events"
+SQL["stream_sessions"] = """
+WITH e AS (SELECT user_id, event_type, ts, ts - lag(ts) OVER o >= INTERVAL 30 MINUTE AS apart FROM events WINDOW o AS (PARTITION BY user_id, event_type ORDER BY ts)),
+s AS (SELECT user_id, event_type, ts, count(*) FILTER (coalesce(apart, true)) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM e)
+SELECT min(ts) AS at, max(ts) + INTERVAL 30 MINUTE AS ends, user_id, event_type, count(*) AS n FROM s GROUP BY user_id, event_type, k"""
+SQL["plane_axes"] = "SELECT 0.0::DOUBLE AS x_mean, 0.0::DOUBLE AS y_mean, 0.0::DOUBLE AS xy, true AS ordered, count(*) AS n FROM embeddings"
 SQL["stream_unseen"] = "SELECT DISTINCT event_id FROM events"
 _SIG = BINDINGS["sig"].check.format(embeddings="embeddings")
 _NEAR = BINDINGS["near"].check.format(sig="sig")
@@ -174,6 +207,30 @@ SELECT md5, round(my - a * mx - b * mz + a * x + b * z, 6) AS predicted FROM m,
 
 QUERIES |= roundtrips.QUERIES
 SQL |= roundtrips.SQL
-OPS = {op.name: op for family in (pitch, rhythm, melody, forms, catalog, sampling, space) for op in family.OPS}
+OPS = {op.name: op for family in (pitch, rhythm, melody, forms, catalog, sampling, space, whole, corners) for op in family.OPS}
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """Every operator's columns in long form, written one after another: each is computed once a process, in a plan of its own."""
+    if (spark.sparkContext.applicationId, d) in _KEPT:
+        return _KEPT[spark.sparkContext.applicationId, d]
+    notes = written(bound(Op("notes", "SELECT * FROM {notes}"), BINDINGS)[0](spark, d), "notes")
+    inner = {**BINDINGS, "notes": Binding("", build=lambda *_: notes)}
+    parts = [written(bound(Op("part", text), inner)[0](spark, d).selectExpr("song", "CAST(dim AS INT) AS dim", "x"), "features") for text in whole.FEATURES]
+    _KEPT[spark.sparkContext.applicationId, d] = reduce(DataFrame.unionByName, parts)
+    return _KEPT[spark.sparkContext.applicationId, d]
+
+
+def _signature_table(spark: SparkSession, d: str) -> DataFrame:
+    return written(bound(OPS["signature88"], BINDINGS)[0](spark, d), "signatures")
+
+
+BINDINGS |= whole.BINDINGS | corners.BINDINGS
+BINDINGS["features"] = Binding("", " UNION ALL ".join(whole.FEATURES), build=_features)
+BINDINGS["sig88"] = Binding("", OPS["signature88"].sql, build=_signature_table)
+for _op in OPS.values():  # an operator's result as another one's input, over notes, drums or the archetypes' drums
+    for _name, _from, _to in (("of", "", ""), ("kit", "{notes}", "{drums}"), ("type", "{drums}", "{archetypes}")):
+        BINDINGS[f"{_name}_{_op.name}"] = Binding(_op.sql.replace(_from, _to), _op.check and _op.check.replace(_from, _to)) if _from else Binding(_op.sql, _op.check)
 for _op in OPS.values():
     QUERIES[_op.name], SQL[_op.name] = bound(_op, BINDINGS)

@@ -68,3 +68,20 @@ def upserted(stream: DataFrame, key: str, version: str) -> DataFrame:
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(made[-1]) if made else spark.createDataFrame([], stream.schema)
+
+
+def restarted(rows: DataFrame, key: str, runs: int) -> DataFrame:
+    """The rows after arriving in ``runs`` parts (by a hash of the key), the stream being started anew after each one.
+
+    Every start goes on from the checkpoint of the last; a batch that is repeated replaces its own folder."""
+    spark = rows.sparkSession
+    base = f"{own_dir(spark)}/restarts-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    for i in range(runs):
+        rows.filter(F.pmod(F.xxhash64(key), F.lit(runs)) == i).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out/batch=*")
