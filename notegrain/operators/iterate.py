@@ -125,7 +125,15 @@ def plane(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
             n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s], pa.list_(pa.float64())), pa.array([p.reshape(-1)], pa.list_(pa.float64()))], ["n", "s", "p"])
 
-    parts = known.select("v").mapInArrow(products, "n bigint, s array<double>, p array<double>").collect()  # one row a partition, dimensions squared numbers
+    def added(batches):
+        n, s, p = 0, np.zeros(d), np.zeros(d * d)
+        for b in batches:
+            n += sum(b.column("n").to_pylist())
+            s, p = s + b.column("s").flatten().to_numpy().reshape(-1, d).sum(0), p + b.column("p").flatten().to_numpy().reshape(-1, d * d).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s], pa.list_(pa.float64())), pa.array([p], pa.list_(pa.float64()))], ["n", "s", "p"])
+
+    kinds = "n bigint, s array<double>, p array<double>"
+    parts = known.select("v").mapInArrow(products, kinds).repartition(16).mapInArrow(added, kinds).collect()  # 16 rows of dimensions squared numbers
     n = sum(r["n"] for r in parts)
     mean = np.sum([r["s"] for r in parts], 0) / n
     cov = np.sum([r["p"] for r in parts], 0).reshape(d, d) / n - np.outer(mean, mean)

@@ -1,6 +1,6 @@
 """Column profiles per load, and the loads that depart from an accepted profile.
 
-Everything rests on one mergeable table of value counts (load, column, value, n): it is built with map-side
+Power sums are exact decimal sums, whatever the order, of values and of squares rounded at six places. Everything rests on one mergeable table of value counts (load, column, value, n): it is built with map-side
 combining and hashed by all three keys, so a load that holds a third of the rows is spread like any other.
 Quartiles are exact: counts per bin locate the bins that hold the wanted ranks, and only the values of
 those bins are ordered. Shifts between loads come from exact (decimal) power sums.
