@@ -9,7 +9,7 @@ Triangle inequality: rows x and y whose angle is at most r, with y in the ball r
 angle(x, p) <= acos(HOME) + r. So x also visits every shard that has a point within acos(HOME) + factor * r.
 With factor 1 nothing is lost; a smaller factor prunes more. In many dimensions x, y and p meet nearly at
 right angles, cos(x, p) being close to cos(x, y) * cos(y, p), so half of r already loses next to nothing.
-Inside a shard, rows form a vantage-point tree, split at median angles down to tiles, and two tiles are compared
+Inside a shard, rows form a vantage-point tree, split at quantiles of angles down to tiles, and two tiles are compared
 only if their angles to every vantage point of the tree can differ by no more than factor * r.
 
 Bounds: at most MOST_POINTS vantage points are broadcast a level (88 floats each, 46 MB); a task gets at most
@@ -35,7 +35,7 @@ MOST_POINTS = 1 << 17
 RATES, COARSE = (1 / 64, 1 / 8), 1 << 14
 """Shares of the rows that are vantage points, level by level. Where the first share is more than COARSE points, a level of COARSE points goes before it: it takes the large clusters out, which few points find as well."""
 BLOCK, LAST_BLOCK, SMALL = 16384, 32768, 4096
-TILE = 512
+TILE, FAN = 512, 16
 SLACK = 2e-5
 """Above the error of float32 products of unit vectors; closer calls are repeated in double precision."""
 
@@ -223,8 +223,8 @@ def tiles(u: np.ndarray, side: np.ndarray, ring: float, tile: int = TILE):
     """The pairs of tiles to compare: slices of an order, and that order. Each unordered pair of rows meets once
     (rows of one tile meet twice); of a two-block task only pairs across the blocks.
 
-    Tiles are the leaves of a vantage-point tree: each node splits its rows at the median of their angles to one of
-    them. Two leaves are left out if for any of these points their ranges of angles lie further apart than ``ring``."""
+    Tiles are the leaves of a vantage-point tree: each node splits its rows by their angles to one of them, into at
+    most FAN parts of equal size. Two leaves are left out if for any of these points their ranges of angles lie further apart than ``ring``."""
     open_, parts, points = [np.arange(len(u))], [], []
     while open_:
         rows = open_.pop()
@@ -233,7 +233,7 @@ def tiles(u: np.ndarray, side: np.ndarray, ring: float, tile: int = TILE):
             continue
         points.append(rows[len(rows) // 2])
         by = rows[np.argsort(-(u[rows] @ u[points[-1]]), kind="stable")]
-        open_ += [by[len(by) // 2 :], by[: len(by) // 2]]
+        open_ += np.array_split(by, min(FAN, -(-len(by) // tile)))[::-1]
     order, end = np.concatenate(parts), np.cumsum([len(p) for p in parts])
     cut = list(zip((end - [len(p) for p in parts]).tolist(), end.tolist()))
     far = np.zeros((len(parts), len(parts)), bool)
