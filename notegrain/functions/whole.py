@@ -218,10 +218,16 @@ _PATTERN = Op(
     "similarity to one pattern (the first song) in the corpus's scaling, and three times that as the 89th number",
 )
 
-# Drum patterns of a bar of 16 cells, as pitch and cell:velocity.
+# Drum patterns of a bar of 16 cells, as pitch and cell:velocity, without random hits.
 GENRES = {
-    "blast": {36: "0:112 2:112 4:112 6:112 8:112 10:112 12:112 14:112", 38: "1:104 3:104 5:104 7:104 9:104 11:104 13:104 15:104", 49: "0:118"},
+    "blast": {36: "0:112 2:112 4:112 6:112 8:112 10:112 12:112 14:112", 38: "1:104 3:104 5:104 7:104 9:104 11:104 13:104 15:104", 51: "0:84 4:84 8:84 12:84", 42: "1:84 2:84 3:84 5:84 6:84 7:84 9:84 10:84 11:84 13:84 14:84 15:84", 49: "0:118"},
     "dbeat": {36: "0:110 3:110 6:110 8:110 11:110 14:110", 38: "4:112 12:112", 42: "0:80 2:80 4:80 6:80 8:80 10:80 12:80 14:80", 49: "0:110"},
+    "metal": {36: "0:104 1:104 3:104 4:104 6:104 8:104 9:104 11:104 12:104 14:104", 38: "4:114 12:114", 51: "0:82 2:82 4:82 6:82 8:82 10:82 12:82 14:82", 49: "0:108"},
+    "openhat": {36: "0:110 4:110 8:110 12:110", 38: "4:116 12:116", 42: "0:80 1:66 4:80 5:66 8:80 9:66 12:80 13:66", 46: "2:74 3:70 6:74 7:70 10:74 11:70 14:74 15:70"},
+    "trap": {36: "0:112 6:96 10:100", 39: "8:116", 38: "8:96", 42: "0:78 2:70 4:78 6:70 8:78 10:70 12:78 14:70 14:60 14.5:66 15:72 15.5:78", 46: "0:70"},
+    "funk": {36: "0:108 6:92 10:96", 38: "2:44 4:112 12:112 14:48", 42: "0:60 2:72 4:66 6:60 8:72 10:66 12:60 14:72"},
+    "jazz": {51: "0:78 4:78 6.67:66 8:78 12:78 14.67:66", 44: "4:70 12:70"},
+    "none": {42: "0:40"},
     "rock": {36: "0:108 8:104 10:96", 38: "4:110 12:110", 42: "0:84 2:76 4:84 6:76 8:84 10:76 12:84 14:76"},
     "pop": {36: "0:104 10:98", 38: "4:108 12:108", 42: "0:72 2:72 4:72 6:72 8:72 10:72 12:72 14:72"},
     "boombap": {36: "0:112 3:88 8:106 11:84", 38: "4:116 12:116", 42: "0:74 2:64 4:74 6:64 7:52 8:74 10:64 12:74 14:64"},
@@ -234,10 +240,10 @@ def _genre_bars(bars: int = 16) -> Op:
     rows = ", ".join(f"('{g}', {p}, '{cells}')" for g, lanes in GENRES.items() for p, cells in lanes.items())
     fill = ", ".join(f"({p}, {c}, {v})" for p, c, v in [(36, 0, 104), (38, 4, 100), (42, 0, 70), *[(p, 8 + i, 96 + 2 * i) for i, p in enumerate((38, 38, 47, 47, 43, 43, 50, 38))]])
     sql = (
-        f"WITH g AS (SELECT * FROM (VALUES {rows}) AS g(genre, pitch, cells)), h AS (SELECT genre, pitch, CAST(substring(hit, 1, <POS> - 1) AS INT) AS cell, CAST(substring(hit, <POS> + 1) AS INT) AS vel FROM (SELECT genre, pitch, <EACH> AS hit FROM g) e), "
+        f"WITH g AS (SELECT * FROM (VALUES {rows}) AS g(genre, pitch, cells)), h AS (SELECT genre, pitch, CAST(substring(hit, 1, <POS> - 1) AS DOUBLE) AS cell, CAST(substring(hit, <POS> + 1) AS INT) AS vel FROM (SELECT genre, pitch, <EACH> AS hit FROM g) e), "
         f"f AS (SELECT * FROM (VALUES {fill}) AS f(pitch, cell, vel)), b AS (SELECT <BARS> AS bar), n AS (SELECT DISTINCT genre FROM g), "
-        f"t AS (SELECT h.genre, b.bar, h.pitch, h.cell, h.vel FROM h CROSS JOIN b WHERE b.bar % 4 <> 3 OR b.bar = {bars - 1} UNION ALL SELECT n.genre, b.bar, f.pitch, f.cell, f.vel FROM n CROSS JOIN b CROSS JOIN f WHERE b.bar % 4 = 3 AND b.bar <> {bars - 1} UNION ALL SELECT n.genre, b.bar, 49, 0, 112 FROM n CROSS JOIN b WHERE b.bar % 8 = 0) "
-        "SELECT genre, CAST(bar * 1920 + cell * 120 AS BIGINT) AS start, pitch, greatest(1, least(127, CAST(rint(vel * (6e-1 + 5e-1 * (bar % 8) / 7e0)) AS INT))) AS vel FROM t"
+        f"t AS (SELECT h.genre, b.bar, h.pitch, h.cell, h.vel FROM h CROSS JOIN b WHERE b.bar % 4 <> 3 OR b.bar = {bars - 1} OR h.genre = 'none' UNION ALL SELECT n.genre, b.bar, f.pitch, f.cell, f.vel FROM n CROSS JOIN b CROSS JOIN f WHERE b.bar % 4 = 3 AND b.bar <> {bars - 1} AND n.genre <> 'none' UNION ALL SELECT n.genre, b.bar, 49, 0, 112 FROM n CROSS JOIN b WHERE b.bar % 8 = 0) "
+        "SELECT genre, CAST(bar * 1920 + rint(cell * 12e1) AS BIGINT) AS start, pitch, greatest(1, least(127, CAST(rint(vel * (6e-1 + 5e-1 * (bar % 8) / 7e0)) AS INT))) AS vel FROM t"
     )
     spark = sql.replace("<POS>", "instr(hit, ':')").replace("<EACH>", "explode(split(cells, ' '))").replace("<BARS>", f"explode(sequence(0, {bars - 1}))")
     other = sql.replace("<POS>", "strpos(hit, ':')").replace("<EACH>", "unnest(string_split(cells, ' '))").replace("<BARS>", f"unnest(range({bars}))::INT")

@@ -12,6 +12,11 @@ MODES = ("time_signature", "split", "load_id", "n_tracks", "song_id")
 BINDINGS = {
     # predictions of every file, and what the gate asks of it; numbers of the catalog stand in for both
     "predictions": Binding("SELECT md5, round((8 * n_tracks + has_drums + n_distinct_patches) / 10e0, 6) AS love, CAST(n_distinct_chords % 10 AS DOUBLE) / 10e0 AS diatonic, CASE WHEN n_tracks > 1 THEN 1 ELSE 0 END AS has_melody, CAST(n_notes % 97 AS DOUBLE) AS unc, CAST(n_distinct_patches AS DOUBLE) AS prox, CAST(n_notes AS DOUBLE) AS groove, CASE WHEN load_id % 4 = 0 THEN 1 ELSE 0 END AS rated FROM {catalog}"),
+    # records of labelled values by position: some in another order, some cut short, some null
+    "records": Binding(
+        "SELECT md5, load_id, CASE WHEN load_id % 7 = 0 THEN array(named_struct('label', 'n_notes', 'value', n_notes), named_struct('label', 'n_tracks', 'value', n_tracks)) WHEN load_id % 5 = 0 THEN array(named_struct('label', 'n_tracks', 'value', n_tracks)) WHEN load_id % 3 > 0 THEN array(named_struct('label', 'n_tracks', 'value', n_tracks), named_struct('label', 'n_notes', 'value', n_notes)) END AS record FROM {metadata}",
+        "SELECT md5, load_id, CASE WHEN load_id % 7 = 0 THEN [{{'label': 'n_notes', 'value': n_notes}}, {{'label': 'n_tracks', 'value': n_tracks}}] WHEN load_id % 5 = 0 THEN [{{'label': 'n_tracks', 'value': n_tracks}}] WHEN load_id % 3 > 0 THEN [{{'label': 'n_tracks', 'value': n_tracks}}, {{'label': 'n_notes', 'value': n_notes}}] END AS record FROM {metadata}",
+    ),
     "members": Binding("SELECT md5, max(cluster_id) AS cluster_id FROM {clusters} GROUP BY md5"),
 }
 
@@ -94,7 +99,10 @@ _REFERENCES = (
 )
 _NAMED = "'([0-9a-f]{{12}})[.]mid'"
 
+_FIELDS = "SELECT md5, load_id, CASE WHEN <1>.label = 'n_tracks' THEN <1>.value END AS n_tracks, CASE WHEN <2>.label = 'n_notes' THEN <2>.value END AS n_notes FROM {records}"
+
 OPS = [
+    Op("record_fields", _FIELDS.replace("<1>", "try_element_at(record, 1)").replace("<2>", "try_element_at(record, 2)"), "fields of records by position; null where another label stands there or the record ends before", _FIELDS.replace("<1>", "record[1]").replace("<2>", "record[2]")),
     _cluster_profile(),
     _BEAUTY,
     _hybrid_pool(),

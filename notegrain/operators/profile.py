@@ -100,8 +100,9 @@ def load_profile(rows: DataFrame, baseline: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("missing"), 0).otherwise(1)).alias("n_distinct"), F.min(F.when(~F.col("missing"), F.col("num"))).alias("min_value"), F.max(F.when(~F.col("missing"), F.col("num"))).alias("max_value"),
         F.sum(F.when(F.col("acceptable"), n).otherwise(0)).alias("k"), F.sum(v.cast("decimal(18,6)") * n.cast("decimal(12,0)")).alias("s1"), F.sum((v * v).cast("decimal(22,6)") * n.cast("decimal(12,0)")).alias("s2"),
     )
-    whole = W.partitionBy("column_name")
-    rest = lambda c: (F.sum(c).over(whole) - F.col(c)).cast("double")
+    whole = F.broadcast(s.groupBy("column_name").agg(*[F.sum(c).alias(f"all_{c}") for c in ("k", "s1", "s2")]))  # one row a column
+    s = s.join(whole, "column_name")
+    rest = lambda c: (F.col(f"all_{c}") - F.col(c)).cast("double")
     s = s.withColumn("rk", rest("k")).withColumn("r1", rest("s1")).withColumn("r2", rest("s2"))
     mean, dev = F.col("s1").cast("double") / F.col("k"), lambda a, b, k: F.sqrt(F.greatest(F.lit(0.0), b / k - (a / k) * (a / k)))
     deviation = dev(F.col("s1").cast("double"), F.col("s2").cast("double"), F.col("k"))
