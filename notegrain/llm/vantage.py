@@ -129,7 +129,7 @@ def _points(rows: DataFrame, share: float, level: int, most: int, pack_rows=None
     """The level's vantage points: rows drawn by a hash of their name, at most ``most``."""
     drawn = rows.filter(F.pmod(F.xxhash64("md5", F.lit(level)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     drawn = pack_rows(drawn) if pack_rows else drawn
-    return unit(unpack(drawn.select("v").limit(most).toArrow().column("v")))
+    return unit(unpack(drawn.orderBy(F.xxhash64("md5", F.lit(level)), "md5").select("v").limit(most).toArrow().column("v")))
 
 
 def _route(rows: DataFrame, points: np.ndarray, plan: Plan, label: str) -> DataFrame:
