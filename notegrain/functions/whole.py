@@ -250,7 +250,35 @@ def _genre_bars(bars: int = 16) -> Op:
     return Op("genre_drums", spark, f"drum patterns of genres over {bars} bars: velocities follow the bar's energy, a fill every fourth bar, a crash every eighth", other)
 
 
+# Nine voices of a kit.
+VOICES = {"kick": (35, 36), "snare": (37, 38, 40), "chat": (42, 44, 22), "ohat": (46, 26), "ltom": (41, 43, 45), "mtom": (47, 48), "htom": (50,), "crash": (49, 52, 55, 57), "ride": (51, 53, 59)}
+
+
+def _drum_layers() -> Op:
+    """The 24 scalars and accents, then 9 x 16 cells of hits a bar, of the fifth root of velocity, and of the distance to the cell."""
+    voice = "CASE " + " ".join(f"WHEN pitch IN ({', '.join(map(str, p))}) THEN {i}" for i, p in enumerate(VOICES.values())) + " END"
+    sql = (
+        f"WITH c AS (SELECT song, CAST(floor(start / 192e1) AS BIGINT) AS bar, {voice} AS voice, CAST(rint(((start % 1920) / 48e1) / 25e-2) AS BIGINT) % 16 AS cell, power(greatest(0e0, least(1e0, vel / 127e0)), 2e-1) AS loud, greatest(-1e0, least(1e0, ((start % 1920) / 48e1 - rint(((start % 1920) / 48e1) / 25e-2) * 25e-2) / 125e-3)) AS off FROM {{drums}} WHERE chan IN (9, 10) AND pitch BETWEEN 35 AND 81), "
+        "n AS (SELECT song, CAST(max(bar) - min(bar) + 1 AS DOUBLE) AS bars FROM c GROUP BY song), g AS (SELECT c.song, c.voice * 16 + c.cell AS at, least(1e0, count(*) / max(n.bars)) AS h, avg(c.loud) AS v, avg(c.off) AS o FROM c JOIN n ON n.song = c.song WHERE c.voice IS NOT NULL GROUP BY c.song, c.voice * 16 + c.cell), "
+        "d AS (SELECT n.song, l.layer * 144 + p.place AS dim, CASE l.layer WHEN 0 THEN g.h WHEN 1 THEN g.v ELSE g.o END AS x FROM n CROSS JOIN (VALUES (0), (1), (2)) AS l(layer) CROSS JOIN (SELECT <PLACES> AS place) p LEFT JOIN g ON g.song = n.song AND g.at = p.place), "
+        "w AS (SELECT song, <ORDERED> AS grid FROM (SELECT song, dim, coalesce(round(x, 6), 0e0) AS x FROM d) y GROUP BY song) SELECT w.song, <JOINED> AS dna FROM w JOIN {of_drum_vector} s ON s.song = w.song"
+    )
+    spark = sql.replace("<PLACES>", "explode(sequence(0, 143))").replace("<ORDERED>", "transform(array_sort(collect_list(named_struct('dim', dim, 'x', x))), e -> e.x)").replace("<JOINED>", "concat(slice(s.dna, 1, 24), w.grid)")
+    return Op("drum_layers", spark, "24 scalars and accents and 9 x 16 x 3 cells of hits, loudness and timing as one array", sql.replace("<PLACES>", "unnest(range(144))").replace("<ORDERED>", "list(x ORDER BY dim)").replace("<JOINED>", "list_concat(s.dna[1:24], w.grid)"))
+
+
+_DEEP = Op(
+    "deep_harmony",
+    "WITH q AS (SELECT song, max(CASE WHEN quality = 'maj' THEN share END) AS maj, max(CASE WHEN quality = 'min' THEN share END) AS mi, max(CASE WHEN quality = 'dim' THEN share END) AS dim, max(CASE WHEN quality = 'dom7' THEN share END) AS dom7 FROM {of_chord_qualities} GROUP BY song), "
+    "b AS (SELECT q.song, coalesce(q.maj, 0e0) AS maj, coalesce(q.mi, 0e0) AS mi, coalesce(q.dim, 0e0) AS dim, coalesce(q.dom7, 0e0) AS dom7, round(3e-1 * CASE WHEN k.key_name LIKE '%major' THEN coalesce(q.mi, 0e0) ELSE coalesce(q.maj, 0e0) END, 4) AS borrowed FROM q LEFT JOIN {of_key_detect} k ON k.song = q.song) "
+    "SELECT b.song, b.maj AS chord_maj, b.mi AS chord_min, f.tonic_share, f.subdominant_share, f.dominant_share, t.mean AS tension_mean, t.variance AS tension_variance, v.density AS voicing_density, v.spread AS voicing_spread, round(6e-1 * b.dom7, 4) AS secondary_dominant_rate, b.borrowed AS borrowed_chord_rate, round(least(1e0, b.borrowed + b.dim), 4) AS modal_interchange "
+    "FROM b LEFT JOIN {of_chord_functions} f ON f.song = b.song LEFT JOIN {of_tension_curve} t ON t.song = b.song LEFT JOIN {of_voicing} v ON v.song = b.song",
+    "chord kinds, functions, tension, voicing and the rates of secondary dominants, borrowed chords and interchange of modes",
+)
+
 OPS = [
+    _drum_layers(),
+    _DEEP,
     _modes(),
     _signature("signature88", WEIGHTS, "median(y)", "dim", "36 numbers of pitch and 52 of rhythm, melody, harmony and groove: logged, imputed, scaled by the corpus, clipped; each block of unit length times the root of its weight"),
     _signature("signature_balanced", BALANCED, "avg(0e0)", "pillar", "the same with four equal pillars, missing as zero and the logarithm for whole blocks"),
