@@ -276,7 +276,20 @@ _DEEP = Op(
     "chord kinds, functions, tension, voicing and the rates of secondary dominants, borrowed chords and interchange of modes",
 )
 
+def _melody_walk() -> Op:
+    """A motif of eight steps, drawn by a hash of the song, walked in each of eight bars from a drawn start and set on the scale of C (the note below where it misses)."""
+    eight = ", ".join(f"({i})" for i in range(8))
+    sql = (
+        f"WITH s AS (SELECT DISTINCT song FROM {{notes}} WHERE song IS NOT NULL), m AS (SELECT s.song, m.i, <HASH(concat(s.song, '|motif|', m.i))> % 5 - 2 AS step FROM s CROSS JOIN (VALUES {eight}) AS m(i)), "
+        f"w AS (SELECT song, i, sum(step) OVER (PARTITION BY song ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at FROM m), t AS (SELECT w.song, b.bar, w.i, CAST(67 + w.at + <HASH(concat(w.song, '|bar|', b.bar))> % 5 AS INT) AS p FROM w CROSS JOIN (VALUES {eight}) AS b(bar)) "
+        "SELECT song, CAST(bar * 1920 + i * 240 AS BIGINT) AS start, 240 AS dur, p - CASE WHEN p % 12 IN (1, 3, 6, 8, 10) THEN 1 ELSE 0 END AS pitch FROM t"
+    )
+    hashed = lambda text, a, b: text.replace("<HASH(", a).replace(")>", b)
+    return Op("melody_walk", hashed(sql, "CAST(conv(substring(md5(", "), 1, 6), 16, 10) AS BIGINT)"), "a motif as a random walk, repeated and set on the scale", hashed(sql, "('0x' || substring(md5(", "), 1, 6))::BIGINT"))
+
+
 OPS = [
+    _melody_walk(),
     _drum_layers(),
     _DEEP,
     _modes(),
