@@ -8,7 +8,7 @@ check follows. Training's digests are reduced to one row each, and the digests o
 (below 4,096) are looked up by broadcast, so a chunk that a third of the records share is never shuffled to.
 
 Chunks cannot see similarity of vectors with noise on every component: of two vectors with a cosine of 0.99
-to 1, between 0 and 13 of 88 components are equal. ``near`` therefore comes from the vantage-point search.
+to 1, between 0 and 13 of 88 components are equal. ``near`` therefore comes from the vantage-point search, with factor 1, which loses no pair.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def _reach(plan: Plan):
     return leaf
 
 
-def near(flags: DataFrame, signatures: DataFrame, least: float = 0.99, factor: float = 0.7, **sizes) -> DataFrame:
+def near(flags: DataFrame, signatures: DataFrame, least: float = 0.99, factor: float = 1.0, **sizes) -> DataFrame:
     """md5, flag of files (packed names) with an evaluation flag (2 val, 4 test) that another file with a training flag (1) is similar to."""
     plan = Plan(least, factor)
     routed = index(signatures, plan, flags, **sizes)

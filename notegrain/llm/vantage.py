@@ -7,7 +7,7 @@ are sampled from such rows only, and more densely; the last level compares what
 
 Triangle inequality: rows x and y whose angle is at most r, with y in the ball round p, have
 angle(x, p) <= acos(HOME) + r. So x also visits every shard that has a point within acos(HOME) + factor * r.
-With factor 1 nothing is lost; a smaller factor prunes more. In many dimensions x, y and p meet nearly at
+With factor 1 nothing is lost (products count with their error in float32); a smaller factor prunes more. In many dimensions x, y and p meet nearly at
 right angles, cos(x, p) being close to cos(x, y) * cos(y, p), so half of r already loses next to nothing.
 Inside a shard, rows form a vantage-point tree, split at quantiles of angles down to tiles, and two tiles are compared
 only if their angles to every vantage point of the tree can differ by no more than factor * r.
@@ -47,7 +47,7 @@ class Plan:
 
     @property
     def visit(self) -> float:
-        return float(np.cos(min(np.pi, np.arccos(HOME) + self.factor * np.arccos(self.least))))
+        return float(np.cos(min(np.pi, np.arccos(HOME) + self.factor * np.arccos(self.least)))) - SLACK
 
     @property
     def ring(self) -> float:
@@ -238,8 +238,9 @@ def tiles(u: np.ndarray, side: np.ndarray, ring: float, tile: int = TILE):
     cut = list(zip((end - [len(p) for p in parts]).tolist(), end.tolist()))
     far = np.zeros((len(parts), len(parts)), bool)
     if points:
-        angle = np.arccos(np.clip(u[order] @ u[points].T, -1, 1))
-        low, high = (f.reduceat(angle, [a for a, _ in cut]) for f in (np.minimum, np.maximum))
+        cos = u[order] @ u[points].T
+        most, least = (f.reduceat(cos, [a for a, _ in cut]).astype("f8") for f in (np.maximum, np.minimum))
+        low, high = np.arccos(np.minimum(most + SLACK, 1)), np.arccos(np.maximum(least - SLACK, -1))
         for k in range(len(points)):
             far |= low[None, :, k] - high[:, None, k] > ring + 1e-6
         far |= far.T
