@@ -58,6 +58,20 @@ def _even(op: Op) -> Op:
     return replace(op, check=text)
 
 
+def _half_up(op: Op, places: int) -> Op:
+    """Rounds the scaled double, as the checking engine does, where this one would round its decimals: 0.3 * 0.1875 is 0.0563 on both. For values of at least 0."""
+    text, at, end_ = op.sql, 0, f", {places})"
+    while (at := text.find("round(", at)) >= 0:
+        end, depth = at + 6, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        if text[at:end].endswith(end_):
+            text = f"{text[:at]}floor(({text[at + 6 : end - len(end_)]}) * 1e{places} + 5e-1) / 1e{places}{text[end:]}"
+        at += 6
+    return replace(op, sql=text, check=op.check or op.sql)
+
+
 def _arrays(op: Op) -> Op:
     """<LIST(...)> is an array of columns."""
     return replace(op, sql=op.sql.replace("<LIST(", "array(").replace(")>", ")"), check=(op.check or op.sql).replace("<LIST(", "list_value(").replace(")>", ")"))
@@ -291,7 +305,7 @@ def _melody_walk() -> Op:
 OPS = [
     _melody_walk(),
     _drum_layers(),
-    _DEEP,
+    _half_up(_DEEP, 4),
     _modes(),
     _signature("signature88", WEIGHTS, "median(y)", "dim", "36 numbers of pitch and 52 of rhythm, melody, harmony and groove: logged, imputed, scaled by the corpus, clipped; each block of unit length times the root of its weight"),
     _signature("signature_balanced", BALANCED, "avg(0e0)", "pillar", "the same with four equal pillars, missing as zero and the logarithm for whole blocks"),
