@@ -36,6 +36,19 @@ def chorded(ops: list[Op]) -> list[Op]:
     return [replace(op, check=(op.check or op.sql).replace(_CHORD, _CHORD_CHECK)) if _CHORD in op.sql else op for op in ops]
 
 
+def _key_areas() -> Op:
+    """Correlations of counts with the profiles, from sums: one row a window with its twelve counts, the profiles as literals; one shuffle, no window of keys."""
+    tail = "k AS (SELECT song, w, key_name, lag(key_name) OVER (PARTITION BY song ORDER BY w) AS was FROM o WHERE rn = 1), m AS (SELECT song, key_name, count(*) AS n FROM k GROUP BY song, key_name) SELECT a.song, a.n_changes, round(b.top / CAST(a.n AS DOUBLE), 6) AS key_stability FROM (SELECT song, count(*) AS n, count(CASE WHEN was <> key_name THEN 1 END) AS n_changes FROM k GROUP BY song) a JOIN (SELECT song, max(n) AS top FROM m GROUP BY song) b ON b.song = a.song"
+    check = f"WITH w8 AS (SELECT song, CAST(floor(start / 384e1) AS BIGINT) AS w, pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS n FROM {{notes}} GROUP BY song, CAST(floor(start / 384e1) AS BIGINT), pitch % 12), ws AS (SELECT DISTINCT song, w FROM w8), grid AS (SELECT s.song, s.w, d.pc, coalesce(x.n, 0e0) AS p FROM ws s CROSS JOIN (VALUES {_PCS}) AS d(pc) LEFT JOIN w8 x ON x.song = s.song AND x.w = s.w AND x.pc = d.pc), prof AS (SELECT * FROM ({_values(_KEYS)}) AS k(key_id, key_name, pc, w)), r AS (SELECT g.song, g.w, k.key_id, k.key_name, corr(g.p, k.w) AS c FROM grid g JOIN prof k ON k.pc = g.pc GROUP BY g.song, g.w, k.key_id, k.key_name), o AS (SELECT *, row_number() OVER (PARTITION BY song, w ORDER BY round(c, 9) DESC, key_id) AS rn FROM r WHERE c IS NOT NULL AND NOT isnan(c)), "
+    keys = ", ".join(f"named_struct('id', {k * 2 + m}, 'key_name', '{NAMES[k]} {('major', 'minor')[m]}', 'w', array({', '.join(f'{p[(pc - k) % 12]!r}e0' for pc in range(12))}), 's', {sum(p)!r}e0, 'd', {(12 * sum(x * x for x in p) - sum(p) ** 2) ** 0.5!r}e0)" for k in range(12) for m, p in enumerate((MAJOR, MINOR)))
+    sql = (
+        f"WITH w8 AS (SELECT song, CAST(floor(start / 384e1) AS BIGINT) AS w, array({_COUNTS}) AS n FROM {{notes}} WHERE song IS NOT NULL AND start IS NOT NULL GROUP BY song, CAST(floor(start / 384e1) AS BIGINT)), "
+        "v AS (SELECT song, w, n, aggregate(n, 0L, (a, x) -> a + x) AS t, aggregate(n, 0L, (a, x) -> a + x * x) AS tt FROM w8), "
+        f"b AS (SELECT song, w, array_max(transform(array({keys}), k -> named_struct('c', round((12e0 * aggregate(zip_with(n, k.w, (x, y) -> x * y), 0e0, (a, x) -> a + x) - t * k.s) / (sqrt(CAST(12 * tt - t * t AS DOUBLE)) * k.d), 9), 'o', -k.id, 'key_name', k.key_name))).key_name AS key_name FROM v WHERE 12 * tt > t * t), "
+    )
+    return Op("key_areas", sql + tail.replace("FROM o WHERE rn = 1", "FROM b"), "keys of eight-beat windows: changes and share of the commonest", check + tail)
+
+
 OPS = [
     Op("pc_histogram", f"WITH {_PC} SELECT song, pc, round(p, 9) AS share FROM h", "share of each pitch class, drums left out"),
     Op("pc_histogram_weighted", "WITH d AS (SELECT song, pitch % 12 AS pc, CAST(greatest(dur, 1) AS DOUBLE) AS w, chan IN (9, 10) AS drum, min(CASE WHEN chan IN (9, 10) THEN 1 ELSE 0 END) OVER (PARTITION BY song) AS only_drums FROM {notes}), s AS (SELECT song, pc, sum(w) AS w FROM d WHERE NOT drum OR only_drums = 1 GROUP BY song, pc) SELECT song, pc, round(w / sum(w) OVER (PARTITION BY song), 9) AS share FROM s", "by duration; drums count only where there is nothing else"),
@@ -48,7 +61,7 @@ OPS = [
     Op("dissonance", f"WITH {_WINDOW}, rw AS (SELECT * FROM ({_values([(i + 1, w) for i, w in enumerate(ROUGHNESS)])}) AS x(ic, weight)), d AS (SELECT a.song, a.w, avg(r.weight) AS rough FROM win a JOIN win b ON b.song = a.song AND b.w = a.w AND b.pc > a.pc JOIN rw r ON r.ic = least(b.pc - a.pc, 12 - (b.pc - a.pc)) GROUP BY a.song, a.w), f AS (SELECT t.song, t.w, coalesce(d.rough, 0e0) AS rough FROM tot t LEFT JOIN d ON d.song = t.song AND d.w = t.w) SELECT song, round(avg(rough), 6) AS diss_mean, round(stddev_pop(rough), 6) AS diss_std FROM f GROUP BY song", "mean roughness of the pairs in each beat"),
     Op("harmony_features", f"WITH {_CHORD}, l AS (SELECT song, w, root, quality, chord_id, lag(chord_id) OVER (PARTITION BY song ORDER BY w) AS was FROM seg), c AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY w) AS k FROM l WHERE was IS NULL OR was <> chord_id), bars AS (SELECT song, greatest((max(start) - min(start)) / 192e1, 1e0) AS bars FROM {{notes}} GROUP BY song) SELECT c.song, count(*) AS n_segments, count(DISTINCT root) AS n_roots, round(avg(CASE WHEN quality = 'dom7' THEN 1e0 ELSE 0e0 END), 6) AS dom7_share, round((count(*) - 1) / max(b.bars), 6) AS changes_per_bar FROM c JOIN bars b ON b.song = c.song GROUP BY c.song", "segments after collapsing repeats, roots, dominant share, changes a bar"),
     Op("progression_entropy", f"WITH {_CHORD}, l AS (SELECT song, w, chord_id, lag(chord_id) OVER (PARTITION BY song ORDER BY w) AS was FROM seg), c AS (SELECT song, w, chord_id FROM l WHERE was IS NULL OR was <> chord_id), b AS (SELECT song, chord_id AS x, lead(chord_id) OVER (PARTITION BY song ORDER BY w) AS y FROM c), g AS (SELECT song, x, y, CAST(count(*) AS DOUBLE) AS n FROM b WHERE y IS NOT NULL GROUP BY song, x, y), p AS (SELECT song, n / sum(n) OVER (PARTITION BY song) AS p FROM g) SELECT song, round(abs(sum(-p * log2(p))), 6) AS bits, count(*) AS n_bigrams FROM p GROUP BY song", "entropy of chord bigrams"),
-    Op("key_areas", f"WITH w8 AS (SELECT song, CAST(floor(start / 384e1) AS BIGINT) AS w, pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS n FROM {{notes}} GROUP BY song, CAST(floor(start / 384e1) AS BIGINT), pitch % 12), ws AS (SELECT DISTINCT song, w FROM w8), grid AS (SELECT s.song, s.w, d.pc, coalesce(x.n, 0e0) AS p FROM ws s CROSS JOIN (VALUES {_PCS}) AS d(pc) LEFT JOIN w8 x ON x.song = s.song AND x.w = s.w AND x.pc = d.pc), prof AS (SELECT * FROM ({_values(_KEYS)}) AS k(key_id, key_name, pc, w)), r AS (SELECT g.song, g.w, k.key_id, k.key_name, corr(g.p, k.w) AS c FROM grid g JOIN prof k ON k.pc = g.pc GROUP BY g.song, g.w, k.key_id, k.key_name), o AS (SELECT *, row_number() OVER (PARTITION BY song, w ORDER BY round(c, 9) DESC, key_id) AS rn FROM r WHERE c IS NOT NULL AND NOT isnan(c)), k AS (SELECT song, w, key_name, lag(key_name) OVER (PARTITION BY song ORDER BY w) AS was FROM o WHERE rn = 1), m AS (SELECT song, key_name, count(*) AS n FROM k GROUP BY song, key_name) SELECT a.song, a.n_changes, round(b.top / CAST(a.n AS DOUBLE), 6) AS key_stability FROM (SELECT song, count(*) AS n, count(CASE WHEN was <> key_name THEN 1 END) AS n_changes FROM k GROUP BY song) a JOIN (SELECT song, max(n) AS top FROM m GROUP BY song) b ON b.song = a.song", "keys of eight-beat windows: changes and share of the commonest"),
+    _key_areas(),
     Op("diatonic_ratio", f"WITH {_RANKED}, k AS (SELECT song, key_id FROM o WHERE rn = 1), n AS (SELECT x.song, CAST(greatest(x.dur, 1) AS DOUBLE) AS w, (x.pitch + 1200 - CAST(floor(k.key_id / 2e0) AS BIGINT)) % 12 AS deg, k.key_id % 2 AS minor FROM {{notes}} x JOIN k ON k.song = x.song WHERE x.chan NOT IN (9, 10)) SELECT song, round(sum(CASE WHEN (minor = 0 AND deg IN (0, 2, 4, 5, 7, 9, 11)) OR (minor = 1 AND deg IN (0, 2, 3, 5, 7, 8, 10)) THEN w ELSE 0e0 END) / sum(w), 6) AS diatonic FROM n GROUP BY song", "share of duration inside the song's scale"),
     Op("chord_summary", "WITH c AS (SELECT song, start, count(DISTINCT pitch % 12) AS k, min(pitch % 12) AS low FROM {notes} WHERE chan NOT IN (9, 10) GROUP BY song, start) SELECT song, count(CASE WHEN k > 1 THEN 1 END) AS n_chords, count(DISTINCT CASE WHEN k > 1 THEN k * 12 + low END) AS n_unique, max(k) AS widest, CASE WHEN count(DISTINCT CASE WHEN k > 1 THEN k * 12 + low END) = 0 THEN 'none' WHEN count(DISTINCT CASE WHEN k > 1 THEN k * 12 + low END) < 8 THEN 'low' WHEN count(DISTINCT CASE WHEN k > 1 THEN k * 12 + low END) < 25 THEN 'medium' ELSE 'high' END AS complexity FROM c GROUP BY song", "notes that sound together at one onset"),
     Op("triple_stats", "SELECT song, CAST(floor(avg(pitch)) AS BIGINT) AS pitch_avg, CAST(floor(median(pitch)) AS BIGINT) AS pitch_med, CAST(floor(avg(dur)) AS BIGINT) AS dur_avg, CAST(floor(median(dur)) AS BIGINT) AS dur_med, min(pitch) AS pitch_min, max(pitch) AS pitch_max, count(DISTINCT chan) AS n_voices FROM {notes} GROUP BY song", "truncated averages and medians"),
