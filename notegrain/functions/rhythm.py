@@ -23,6 +23,15 @@ def _both(name: str, sql: str, what: str) -> Op:
     return Op(name, "WITH " + sql.replace("<ON>", _ON).replace("<CELL>", _CELL), what, "WITH " + sql.replace("<ON>", _ON_C).replace("<CELL>", _CELL_C).replace("rint(", "round_even_0("))
 
 
+def _song_structure() -> Op:
+    """The windows of a song meet in one row: its counts, at most 256 times the pitch classes, are multiplied there and no pair of windows is shuffled."""
+    head = "WITH m AS (SELECT song, CAST(max(start) + 1 AS DOUBLE) AS span FROM {notes} GROUP BY song), g AS (SELECT song, CASE WHEN span / 96e1 > 256e0 THEN span / 256e0 ELSE 96e1 END AS win, CAST(least(floor(span / 96e1 + 1e0), 256) AS BIGINT) AS nwin FROM m), x AS (SELECT n.song, g.nwin, CAST(least(floor(n.start / g.win), g.nwin - 1) AS BIGINT) AS w, n.pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS n FROM {notes} n JOIN g ON g.song = n.song WHERE g.nwin >= 4 GROUP BY n.song, g.nwin, CAST(least(floor(n.start / g.win), g.nwin - 1) AS BIGINT), n.pitch % 12), "
+    pairs = "l AS (SELECT song, w, sum(n * n) AS ss FROM x GROUP BY song, w), d AS (SELECT a.song, a.nwin, a.w AS p, b.w AS q, sum(a.n * b.n) AS dot FROM x a JOIN x b ON b.song = a.song AND b.pc = a.pc AND b.w > a.w GROUP BY a.song, a.nwin, a.w, b.w), s AS (SELECT d.song, d.p, d.q, CASE WHEN d.q - d.p > greatest(2e0, floor(d.nwin / 16e0)) AND 1e4 * d.dot * d.dot > 9025e0 * a.ss * b.ss THEN 1 ELSE 0 END AS again, CASE WHEN d.q = d.p + 1 AND 4e0 * d.dot * d.dot >= a.ss * b.ss THEN 1 ELSE 0 END AS goes_on, d.nwin FROM d JOIN l a ON a.song = d.song AND a.w = d.p JOIN l b ON b.song = d.song AND b.w = d.q), h AS (SELECT song, count(DISTINCT w) AS hits FROM (SELECT song, p AS w FROM s WHERE again = 1 UNION ALL SELECT song, q AS w FROM s WHERE again = 1) e GROUP BY song), c AS (SELECT song, nwin, p, lead(p) OVER (PARTITION BY song ORDER BY p) AS nxt FROM s WHERE goes_on = 1), t AS (SELECT song, count(CASE WHEN p + 1 <= nwin - 2 AND (nxt IS NULL OR nxt > p + 1) THEN 1 END) AS rises FROM c GROUP BY song)"
+    tail = " SELECT g.song, g.nwin AS n_windows, CASE WHEN g.nwin < 4 THEN 0 ELSE 1 + coalesce(t.rises, 0) END AS n_sections, round(coalesce(h.hits, 0) / CAST(g.nwin AS DOUBLE), 6) AS repetition_ratio, CASE WHEN 10 * coalesce(h.hits, 0) > 3 * g.nwin THEN 1 ELSE 0 END AS has_repetition FROM g LEFT JOIN h ON h.song = g.song LEFT JOIN t ON t.song = g.song"
+    sql = head + "y AS (SELECT song, windows_again(nwin, collect_list(named_struct('w', w, 'pc', CAST(pc AS INT), 'n', n))) AS r FROM x WHERE w IS NOT NULL GROUP BY song, nwin), h AS (SELECT song, r.hits AS hits FROM y), t AS (SELECT song, r.rises AS rises FROM y)" + tail
+    return Op("song_structure", sql, "two-beat windows, at most 256: share that comes back (cosine above 0.95) beyond the neighbourhood, sections that end where neighbours fall below 0.5", head + pairs + tail)
+
+
 OPS = [
     _both("ioi_stats", f"<ON>, {_IOI} SELECT song, count(d) AS n, round(avg(d), 6) AS ioi_mean, round(median(d), 6) AS ioi_median, round(stddev_pop(d), 6) AS ioi_std FROM i WHERE d > 0 GROUP BY song", "intervals between distinct onsets"),
     _both("note_value_mix", f"<ON>, {_IOI}, nv AS (SELECT * FROM (VALUES {_VALUES}) AS v(ord, kind, beats)), m AS (SELECT i.song, i.t, nv.kind, abs(log2(i.d / nv.beats)) AS off, row_number() OVER (PARTITION BY i.song, i.t ORDER BY round(abs(log2(i.d / nv.beats)), 9), nv.ord) AS rn FROM i CROSS JOIN nv WHERE i.d > 0), k AS (SELECT song, CASE WHEN off <= 16e-2 THEN kind ELSE 'free' END AS kind FROM m WHERE rn = 1) SELECT song, kind, count(*) AS n FROM k GROUP BY song, kind", "nearest note value of each interval, else free"),
@@ -48,7 +57,7 @@ OPS = [
     Op("onset_coincidence", "WITH o AS (SELECT song, chan, start, lag(start) OVER (PARTITION BY song ORDER BY start, idx) AS p, lead(start) OVER (PARTITION BY song ORDER BY start, idx) AS n FROM {notes}) SELECT song, round(1e0 - avg(CASE WHEN start - p <= 60 OR n - start <= 60 THEN 1e0 ELSE 0e0 END), 6) AS independence FROM o GROUP BY song", "share of onsets with no other within an eighth of a beat"),
     Op("pulse_clarity", "WITH c AS (SELECT song, CAST(floor(start / 12e1) AS BIGINT) AS cell, CAST(count(*) AS DOUBLE) AS n FROM {drums} GROUP BY song, CAST(floor(start / 12e1) AS BIGINT)), m AS (SELECT song, min(cell) AS lo, CAST(max(cell) - min(cell) + 1 AS DOUBLE) AS len, sum(n) AS s, sum(n * n) AS ss FROM c GROUP BY song), l AS (SELECT a.song, b.cell - a.cell AS lag, sum(a.n * b.n) AS ab FROM c a JOIN c b ON b.song = a.song AND b.cell - a.cell BETWEEN 2 AND 64 GROUP BY a.song, b.cell - a.cell) SELECT l.song, round(max(l.ab / m.ss), 6) AS clarity FROM l JOIN m ON m.song = l.song GROUP BY l.song", "largest autocorrelation of the onset grid at lags 2 to 64"),
     Op("self_similarity", "WITH x AS (SELECT song, CAST(floor(start / 192e2) AS BIGINT) AS w, pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS n FROM {notes} GROUP BY song, CAST(floor(start / 192e2) AS BIGINT), pitch % 12), l AS (SELECT song, w, sqrt(sum(n * n)) AS len FROM x GROUP BY song, w), u AS (SELECT x.song, x.w, x.pc, x.n / l.len AS u FROM x JOIN l ON l.song = x.song AND l.w = x.w), s AS (SELECT a.song, a.w AS p, b.w AS q, sum(a.u * b.u) AS c FROM u a JOIN u b ON b.song = a.song AND b.pc = a.pc AND b.w > a.w GROUP BY a.song, a.w, b.w), f AS (SELECT song, p, max(CASE WHEN q - p > 2 THEN c END) AS far FROM s GROUP BY song, p) SELECT song, round(avg(CASE WHEN far > 8e-1 THEN 1e0 ELSE 0e0 END), 6) AS repetition, round(avg(far), 6) AS mean_far FROM f GROUP BY song", "windows that come back later"),
-    Op("song_structure", "WITH m AS (SELECT song, CAST(max(start) + 1 AS DOUBLE) AS span FROM {notes} GROUP BY song), g AS (SELECT song, CASE WHEN span / 96e1 > 256e0 THEN span / 256e0 ELSE 96e1 END AS win, CAST(least(floor(span / 96e1 + 1e0), 256) AS BIGINT) AS nwin FROM m), x AS (SELECT n.song, g.nwin, CAST(least(floor(n.start / g.win), g.nwin - 1) AS BIGINT) AS w, n.pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS n FROM {notes} n JOIN g ON g.song = n.song WHERE g.nwin >= 4 GROUP BY n.song, g.nwin, CAST(least(floor(n.start / g.win), g.nwin - 1) AS BIGINT), n.pitch % 12), l AS (SELECT song, w, sum(n * n) AS ss FROM x GROUP BY song, w), d AS (SELECT a.song, a.nwin, a.w AS p, b.w AS q, sum(a.n * b.n) AS dot FROM x a JOIN x b ON b.song = a.song AND b.pc = a.pc AND b.w > a.w GROUP BY a.song, a.nwin, a.w, b.w), s AS (SELECT d.song, d.p, d.q, CASE WHEN d.q - d.p > greatest(2e0, floor(d.nwin / 16e0)) AND 1e4 * d.dot * d.dot > 9025e0 * a.ss * b.ss THEN 1 ELSE 0 END AS again, CASE WHEN d.q = d.p + 1 AND 4e0 * d.dot * d.dot >= a.ss * b.ss THEN 1 ELSE 0 END AS goes_on, d.nwin FROM d JOIN l a ON a.song = d.song AND a.w = d.p JOIN l b ON b.song = d.song AND b.w = d.q), h AS (SELECT song, count(DISTINCT w) AS hits FROM (SELECT song, p AS w FROM s WHERE again = 1 UNION ALL SELECT song, q AS w FROM s WHERE again = 1) e GROUP BY song), c AS (SELECT song, nwin, p, lead(p) OVER (PARTITION BY song ORDER BY p) AS nxt FROM s WHERE goes_on = 1), t AS (SELECT song, count(CASE WHEN p + 1 <= nwin - 2 AND (nxt IS NULL OR nxt > p + 1) THEN 1 END) AS rises FROM c GROUP BY song) SELECT g.song, g.nwin AS n_windows, CASE WHEN g.nwin < 4 THEN 0 ELSE 1 + coalesce(t.rises, 0) END AS n_sections, round(coalesce(h.hits, 0) / CAST(g.nwin AS DOUBLE), 6) AS repetition_ratio, CASE WHEN 10 * coalesce(h.hits, 0) > 3 * g.nwin THEN 1 ELSE 0 END AS has_repetition FROM g LEFT JOIN h ON h.song = g.song LEFT JOIN t ON t.song = g.song", "two-beat windows, at most 256: share that comes back (cosine above 0.95) beyond the neighbourhood, sections that end where neighbours fall below 0.5"),
+    _song_structure(),
     Op("event_sessions", "WITH g AS (SELECT song, t, idx, CASE WHEN t - lag(t) OVER (PARTITION BY song ORDER BY t, idx) > 18e2 THEN 1 ELSE 0 END AS cut FROM {onsets}), s AS (SELECT song, t, sum(cut) OVER (PARTITION BY song ORDER BY t, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g) SELECT song, CAST(session AS BIGINT) AS session, count(*) AS n, max(t) - min(t) AS seconds FROM s GROUP BY song, session", "sessions end at gaps of half an hour"),
 ]
 

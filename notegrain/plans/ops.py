@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notegrain.plans import kernels
 from notegrain.plans.shared import table
 
 
@@ -38,6 +39,14 @@ class Binding:
     """Makes the input where SQL does not; ``check`` then has its text for the checking engine."""
 
 
+def _ready(spark: SparkSession, text: str) -> str:
+    """The text, with the functions of ``kernels`` that it names made known to the session."""
+    for name, function in kernels.FUNCTIONS.items():
+        if f"{name}(" in text:
+            spark.udf.register(name, function)
+    return text
+
+
 def _names(text: str) -> list[str]:
     return list(dict.fromkeys(f for _, f, _, _ in string.Formatter().parse(text) if f))
 
@@ -45,7 +54,7 @@ def _names(text: str) -> list[str]:
 def apply(op: Op, **inputs: DataFrame) -> DataFrame:
     """The operator over the given DataFrames, by input name."""
     spark = next(iter(inputs.values())).sparkSession if inputs else SparkSession.active()
-    return spark.sql(op.sql, **inputs)
+    return spark.sql(_ready(spark, op.sql), **inputs)
 
 
 def bound(op: Op, bindings: dict[str, Binding]):
@@ -57,10 +66,10 @@ def bound(op: Op, bindings: dict[str, Binding]):
             return table(spark, d, name)
         if b.build:
             return b.build(spark, d)
-        return spark.sql(b.sql, **{n: make(spark, d, n) for n in _names(b.sql)})
+        return spark.sql(_ready(spark, b.sql), **{n: make(spark, d, n) for n in _names(b.sql)})
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return spark.sql(op.sql, **{n: make(spark, d, n) for n in op.inputs})
+        return spark.sql(_ready(spark, op.sql), **{n: make(spark, d, n) for n in op.inputs})
 
     with_: dict[str, str] = {}
 
