@@ -16,7 +16,24 @@ _CENT = "c AS (SELECT label, i, avg(x) AS m FROM {sigl} GROUP BY label, i), n AS
 
 def _set_ratio() -> Op:
     sql = "WITH q AS (SELECT <SH> AS sh), t AS (SELECT song, count(DISTINCT pitch) AS n FROM {notes} GROUP BY song), ref AS (SELECT DISTINCT song AS q, pitch FROM {notes} WHERE song % 50 = 0), rn AS (SELECT q, count(*) AS n FROM ref GROUP BY q), d AS (SELECT DISTINCT song, pitch FROM {notes}), m AS (SELECT d.song, ref.q, q.sh, count(*) AS hit FROM ref CROSS JOIN q JOIN d ON d.pitch = ref.pitch + q.sh GROUP BY d.song, ref.q, q.sh) SELECT m.q, m.song, round(max(CASE WHEN m.hit = rn.n THEN m.hit / CAST(t.n AS DOUBLE) ELSE m.hit / CAST(greatest(t.n, rn.n) AS DOUBLE) END), 6) AS ratio FROM m JOIN t ON t.song = m.song JOIN rn ON rn.q = m.q WHERE m.song <> m.q GROUP BY m.q, m.song"
-    return Op("set_ratio_search", sql.replace("<SH>", "explode(sequence(-6, 5))"), "shared pitches of every fiftieth song with all others over twelve transpositions; a contained query counts against the target only", sql.replace("<SH>", "unnest(range(-6, 6))"))
+    shifts = range(-6, 6)
+    word = lambda k, low: f"coalesce(bit_or(CASE WHEN sh = {k} AND p BETWEEN {low} AND {low + 63} THEN shiftleft(1L, CAST(p - {low} AS INT)) END), 0L)"
+    most = ", ".join(f"bit_count(a.lo{k + 6} & b.lo) + bit_count(a.hi{k + 6} & b.hi)" for k in shifts)
+    # The ratio grows with the hits, so the most hits of the twelve shifts decide.
+    ratio = "CASE WHEN {hit} = {q} THEN {hit} / CAST({t} AS DOUBLE) ELSE {hit} / CAST(greatest({t}, {q}) AS DOUBLE) END"
+    # A song's pitches are bits, 64 a word. Targets within 0 to 127 are two words, every query twelve times two; the others (no MIDI pitches) are joined pitch by pitch.
+    spark = (
+        "WITH w AS (SELECT song, shiftright(CAST(pitch AS BIGINT), 6) AS word, bit_or(shiftleft(1L, CAST(CAST(pitch AS BIGINT) & 63L AS INT))) AS bits FROM {notes} WHERE song IS NOT NULL GROUP BY song, shiftright(CAST(pitch AS BIGINT), 6)), "
+        "t AS (SELECT song, coalesce(max(CASE WHEN word = 0 THEN bits END), 0L) AS lo, coalesce(max(CASE WHEN word = 1 THEN bits END), 0L) AS hi, coalesce(sum(bit_count(bits)), 0L) AS n, coalesce(min(word) < 0 OR max(word) > 1, false) AS odd FROM w GROUP BY song), "
+        "s AS (SELECT q, pitch + sh AS p, sh FROM (SELECT song AS q, explode(transform(filter(sequence(0, 63), i -> getbit(bits, i) = 1), i -> word * 64 + i)) AS pitch FROM w WHERE song % 50 = 0) x CROSS JOIN (SELECT explode(sequence(-6, 5)) AS sh) y), "
+        f"a AS (SELECT c.q, c.n, {', '.join(f'm.lo{k + 6}, m.hi{k + 6}' for k in shifts)} FROM (SELECT song AS q, sum(coalesce(bit_count(bits), 1)) AS n FROM w WHERE song % 50 = 0 GROUP BY song) c JOIN (SELECT q, {', '.join(f'{word(k, 0)} AS lo{k + 6}, {word(k, 64)} AS hi{k + 6}' for k in shifts)} FROM s GROUP BY q) m ON m.q = c.q), "
+        "b AS (SELECT /*+ REPARTITION(96) */ song, lo, hi, n FROM t WHERE NOT odd), "
+        f"r AS (SELECT /*+ BROADCAST(a) */ a.q, b.song, a.n AS nq, b.n AS nt, greatest({most}) AS hit FROM b JOIN a ON b.song <> a.q), "
+        "o AS (SELECT w.song, t.n, explode(transform(filter(sequence(0, 63), i -> getbit(bits, i) = 1), i -> word * 64 + i)) AS pitch FROM w JOIN t ON t.song = w.song AND t.odd), "
+        "m AS (SELECT song, q, n, max(hit) AS hit FROM (SELECT o.song, s.q, s.sh, o.n, count(*) AS hit FROM o JOIN s ON s.p = o.pitch WHERE o.song <> s.q GROUP BY o.song, s.q, s.sh, o.n) x GROUP BY song, q, n) "
+        f"SELECT q, song, round({ratio.format(hit='hit', q='nq', t='nt')}, 6) AS ratio FROM r WHERE hit > 0 UNION ALL SELECT m.q, m.song, round({ratio.format(hit='m.hit', q='a.n', t='m.n')}, 6) FROM m JOIN a ON a.q = m.q"
+    )
+    return Op("set_ratio_search", spark, "shared pitches of every fiftieth song with all others over twelve transpositions; a contained query counts against the target only", sql.replace("<SH>", "unnest(range(-6, 6))"))
 
 
 OPS = [
