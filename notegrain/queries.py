@@ -11,7 +11,7 @@ from notegrain.functions import forms, melody, pitch, rhythm, whole
 from notegrain.operators import catalog, corners, iterate, profile, sampling, search, space
 from notegrain.operators.components import components
 from notegrain.plans.ops import Binding, Op, bound
-from notegrain.plans.shared import table, written
+from notegrain.plans.shared import dropped, released, table, written
 from notegrain.sources import roundtrips
 from notegrain.sources.bindings import BINDINGS
 from notegrain.streaming import live
@@ -212,12 +212,15 @@ _KEPT: dict[tuple[str, str], DataFrame] = {}
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    """Every operator's columns in long form, written one after another: each is computed once a process, in a plan of its own."""
+    """Every operator's columns in long form, written one after another: each is computed once a process, in a plan of its own, and its shuffle files go before the next one's; the notes go at the end."""
     if (spark.sparkContext.applicationId, d) in _KEPT:
         return _KEPT[spark.sparkContext.applicationId, d]
     notes = written(bound(Op("notes", "SELECT * FROM {notes}"), BINDINGS)[0](spark, d), "notes")
-    inner = {**BINDINGS, "notes": Binding("", build=lambda *_: notes)}
-    parts = [written(bound(Op("part", text), inner)[0](spark, d).selectExpr("song", "CAST(dim AS INT) AS dim", "x"), "features") for text in whole.FEATURES]
+    inner, parts = {**BINDINGS, "notes": Binding("", build=lambda *_: notes)}, []
+    for text in whole.FEATURES:
+        parts.append(written(bound(Op("part", text), inner)[0](spark, d).selectExpr("song", "CAST(dim AS INT) AS dim", "x"), "features"))
+        released(spark)
+    dropped(notes)
     _KEPT[spark.sparkContext.applicationId, d] = reduce(DataFrame.unionByName, parts)
     return _KEPT[spark.sparkContext.applicationId, d]
 
