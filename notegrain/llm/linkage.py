@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from notegrain.llm.vantage import SLACK, Plan, _blocks, exact, index, joined, leaves, split_copies, tasks, tiles
+from notegrain.llm.vantage import SLACK, Plan, _blocks, compared, exact, index, joined, leaves, meetings, split_copies, tiles
 from notegrain.llm.vectors import WIDTH, name_of, unit, unpack
 from notegrain.operators.components import components
 from notegrain.plans.shared import dropped, written
@@ -50,46 +50,43 @@ def single_rounds(label: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray
         label = joined(len(label), x[first], y[first], label)
 
 
-def task_labels(x: np.ndarray, side: np.ndarray, plan: Plan) -> np.ndarray:
+def task_labels(x: np.ndarray, side: np.ndarray, plan: Plan, cell: np.ndarray | None = None) -> np.ndarray:
     """Single-linkage labels of one task's rows.
 
     The task's links are merged tile by tile, and links inside a cluster are dropped as soon as they are seen,
     which single linkage allows; in a tile full of links each row's best partner in another cluster is merged, round by round, and only what is
     left is listed."""
     u = unit(x)
-    order, pairs = tiles(u, side, plan.ring)
-    v, label = u[order], np.arange(len(u))
-    for (a, b), (c, d) in pairs:
-        one = label[a]
-        if label[c] == one and (label[a:b] == one).all() and (label[c:d] == one).all():
+    label = np.arange(len(u))
+    for left, right, here, there, same in meetings(u, side, plan, cell):
+        one = label[here[0]]
+        if label[there[0]] == one and (label[here] == one).all() and (label[there] == one).all():
             continue
-        s = v[a:b] @ v[c:d].T
-        if a == c:
+        s = left @ right.T
+        if same:
             np.fill_diagonal(s, -2)
         at = np.flatnonzero(s >= plan.least - SLACK)
-        if len(at) > 8 * (b - a + d - c):
+        if len(at) > 8 * sum(s.shape):
             while True:
-                s[label[a:b, None] == label[None, c:d]] = -2
+                s[label[here][:, None] == label[there][None, :]] = -2
                 mate = s.argmax(1)
-                top = s[np.arange(b - a), mate]
+                top = s[np.arange(len(s)), mate]
                 sure = np.flatnonzero(top >= plan.least + SLACK)
                 if not len(sure):
                     break
-                label = single_rounds(label, sure + a, mate[sure] + c, top[sure])
+                label = single_rounds(label, here[sure], there[mate[sure]], top[sure])
             at = np.flatnonzero(s >= plan.least - SLACK)
         if not len(at):
             continue
-        i, j = at // (d - c) + a, at % (d - c) + c
+        i, j = here[at // s.shape[1]], there[at % s.shape[1]]
         apart = label[i] != label[j]
         if apart.any():
             i, j, w = i[apart], j[apart], s.reshape(-1)[at[apart]].astype("f8")
             close = w < plan.least + SLACK
-            w[close] = exact(x, order[i[close]], order[j[close]])
+            w[close] = exact(x, i[close], j[close])
             keep = w >= plan.least
             label = single_rounds(label, i[keep], j[keep], w[keep])
-    out = np.empty(len(u), "i8")
-    out[order] = label
-    return out
+    return label
 
 
 def average_rounds(s: np.ndarray, least: float) -> np.ndarray:
@@ -318,10 +315,10 @@ def cluster_members(signatures: DataFrame, least: float = LEAST, factor: float =
 
 
 def _leaf(plan: Plan, smallest: int):
-    def leaf(md5, x, side, flag, many):
+    def leaf(md5, x, side, flag, many, cell=None):
         if len(md5) < 2:
             return None
-        label = task_labels(x, side, plan)
+        label = task_labels(x, side, plan, cell)
         root, back, size = np.unique(label, return_inverse=True, return_counts=True)
         if size.max() < 2:
             return None
@@ -346,7 +343,7 @@ def _grouped(routed: DataFrame, plan: Plan, smallest: int, **sizes) -> DataFrame
     if tails is not None:
         heads = tails.select(head.alias("md5"), F.lit(1).alias("one")).distinct()
         core = written(core.join(heads, "md5", "left").withColumn("flag", F.coalesce("one", "flag")).drop("one"), "heads")
-    found = leaves(tasks(core, plan, **sizes), _leaf(plan, smallest), "md5 binary, root binary, open boolean")
+    found = compared(core, plan, _leaf(plan, smallest), "md5 binary, root binary, open boolean", **sizes)
     if tails is not None:
         found = found.unionByName(tails.select("md5", head.alias("root"), F.lit(True).alias("open"))).unionByName(tails.select(head.alias("md5"), head.alias("root"), F.lit(True).alias("open")).distinct())
     found = written(found, "roots")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from notegrain.llm.vantage import SLACK, Plan, exact, index, leaves, split_copies, tasks, tiles
+from notegrain.llm.vantage import SLACK, Plan, compared, exact, index, meetings, split_copies
 from notegrain.llm.vectors import name_of, unit
 
 
@@ -21,14 +21,12 @@ def _best(i, j, s, rank, k):
 
 
 def _leaf(plan: Plan, k: int, dense: int = 1 << 18, most: int = 1 << 21):
-    def leaf(md5, x, side, flag, many):
+    def leaf(md5, x, side, flag, many, cell=None):
         if len(md5) < 2:
             return None
         u = unit(x)
         rank = np.empty(len(md5), "i8")
         rank[np.argsort(md5)] = np.arange(len(md5))
-        order, pairs = tiles(u, side, plan.ring)
-        v = u[order]
         held, count = [], 0
 
         def settle():
@@ -36,19 +34,19 @@ def _leaf(plan: Plan, k: int, dense: int = 1 << 18, most: int = 1 << 21):
             i, j, s = (np.concatenate(c) for c in zip(*held))
             held, count = [_best(i, j, s, rank, k)], 0
 
-        for (a, b), (c, d) in pairs:
-            s = v[a:b] @ v[c:d].T
-            if a == c:
+        for left, right, here, there, same in meetings(u, side, plan, cell):
+            s = left @ right.T
+            if same:
                 np.fill_diagonal(s, -2)
             p, q = np.nonzero(s >= plan.least - SLACK)
             if len(p) > dense and min(s.shape) > k:  # only what can be among the k best of its row or column
                 row, col = np.partition(s, -k, axis=1)[:, -k], np.partition(s, -k, axis=0)[-k]
                 keep = s[p, q] >= np.minimum(row[p], col[q]) - SLACK
                 p, q = p[keep], q[keep]
-            if a == c:
+            if same:
                 p, q = p[p < q], q[p < q]
             if len(p):
-                i, j = order[p + a], order[q + c]
+                i, j = here[p], there[q]
                 e = exact(x, i, j)
                 i, j, e = i[e >= plan.least], j[e >= plan.least], e[e >= plan.least]
                 held.append((np.r_[i, j], np.r_[j, i], np.r_[e, e]))
@@ -73,7 +71,7 @@ def nearest(signatures: DataFrame, k: int = 5, least: float = 0.95, factor: floa
     nearest by definition."""
     plan = Plan(least, factor)
     core, tails = split_copies(index(signatures, plan, **sizes), k + 1)
-    found = leaves(tasks(core, plan, **sizes), _leaf(plan, k), "a binary, b binary, s double")
+    found = compared(core, plan, _leaf(plan, k), "a binary, b binary, s double", **sizes)
     if tails is not None:
         found = found.unionByName(tails.select(F.col("md5").alias("a"), F.explode(F.slice("heads", 1, k)).alias("b"), F.lit(1.0).alias("s")))
     # a row has at most k entries from each task that sees it

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from notegrain.llm.splits import split_name
-from notegrain.llm.vantage import SLACK, Plan, exact, index, leaves, split_copies, tasks, tiles
+from notegrain.llm.vantage import SLACK, Plan, compared, exact, index, meetings, split_copies
 from notegrain.llm.vectors import key_of, name_of, unit
 from notegrain.plans.shared import written
 
@@ -108,27 +108,24 @@ def normalised(columns: list[str]) -> Column:
 
 
 def _reach(plan: Plan):
-    def leaf(md5, x, side, flag, many):
+    def leaf(md5, x, side, flag, many, cell=None):
         train, wants = (flag & 1) > 0, (flag & 14) > 0
         if len(md5) < 2 or not train.any() or not wants.any():
             return None
-        u = unit(x)
-        order, pairs = tiles(u, side, plan.ring)
-        v, got = u[order], np.zeros(len(md5), bool)
-        t, w = train[order], wants[order]
-        for (a, b), (c, d) in pairs:
-            if not (t[a:b].any() and w[c:d].any() or w[a:b].any() and t[c:d].any()):
+        got = np.zeros(len(md5), bool)
+        for left, right, here, there, _ in meetings(unit(x), side, plan, cell):
+            if not (train[here].any() and wants[there].any() or wants[here].any() and train[there].any()):
                 continue
-            s = v[a:b] @ v[c:d].T
+            s = left @ right.T
             p, q = np.nonzero(s >= plan.least - SLACK)
-            p, q = p + a, q + c
-            keep = (p != q) & ((t[p] & w[q] & ~got[order[q]]) | (t[q] & w[p] & ~got[order[p]]))
+            p, q = here[p], there[q]
+            keep = (p != q) & ((train[p] & wants[q] & ~got[q]) | (train[q] & wants[p] & ~got[p]))
             p, q = p[keep], q[keep]
             if len(p):
-                sure = exact(x, order[p], order[q]) >= plan.least
+                sure = exact(x, p, q) >= plan.least
                 p, q = p[sure], q[sure]
-                got[order[q[t[p] & w[q]]]] = True
-                got[order[p[t[q] & w[p]]]] = True
+                got[q[train[p] & wants[q]]] = True
+                got[p[train[q] & wants[p]]] = True
         at = np.flatnonzero(got)
         return pa.RecordBatch.from_arrays([pa.array(md5[at], pa.binary()), pa.array(flag[at], pa.int32())], ["md5", "flag"]) if len(at) else None
 
@@ -142,7 +139,7 @@ def near(flags: DataFrame, signatures: DataFrame, least: float = 0.99, factor: f
     core, tails = split_copies(routed, 1)
     out = "md5 binary, flag int"
     if tails is None:
-        return leaves(tasks(core, plan, **sizes), _reach(plan), out).distinct()
+        return compared(core, plan, _reach(plan), out, **sizes).distinct()
     # a class of copies is searched as its first file, which carries the class's training flag and reports always (8)
     head = F.element_at("heads", 1)
     names = tails.select("md5", head.alias("head")).unionByName(tails.select(head.alias("md5"), head.alias("head")).distinct())
@@ -150,7 +147,7 @@ def near(flags: DataFrame, signatures: DataFrame, least: float = 0.99, factor: f
     trains = members.groupBy("head").agg(F.sum(F.col("flag").bitwiseAND(1)).alias("trains"))
     mark = F.col("flag").bitwiseOR((F.col("trains") > 0).cast("int")).bitwiseOR(F.lit(8))
     core = written(core.join(trains.withColumnRenamed("head", "md5"), "md5", "left").withColumn("flag", F.when(F.col("trains").isNull(), F.col("flag")).otherwise(mark)).drop("trains"), "heads")
-    hit = written(leaves(tasks(core, plan, **sizes), _reach(plan), out).distinct(), "hit")
+    hit = written(compared(core, plan, _reach(plan), out, **sizes).distinct(), "hit")
     whole = members.join(trains, "head").join(hit.select(F.col("md5").alias("head"), F.lit(1).alias("hit")), "head", "left")
     inside = whole.filter((F.col("hit") == 1) | (F.col("trains") > F.col("flag").bitwiseAND(1))).filter("flag > 1").select("md5", "flag")
     return hit.filter(F.col("flag").bitwiseAND(8) == 0).unionByName(inside)

@@ -3,7 +3,7 @@
 The tree has few, wide levels. On each level a hash sample of the rows serves as vantage points. A row within
 the ball of angle acos(HOME) round its nearest point goes inside, to the shard of that point; points closer
 than acos(JOIN) to each other share a shard. A row outside all balls goes on to the next level, where points
-are sampled from such rows only, and more densely; the last level compares what is left in blocks.
+are sampled from such rows only, and more densely; the last level compares what is left in blocks of cells.
 
 Triangle inequality: rows x and y whose angle is at most r, with y in the ball round p, have
 angle(x, p) <= acos(HOME) + r. So x also visits every shard that has a point within acos(HOME) + factor * r.
@@ -12,6 +12,11 @@ right angles, cos(x, p) being close to cos(x, y) * cos(y, p), so half of r alrea
 Inside a shard, rows form a vantage-point tree, split at quantiles of angles down to tiles, and two tiles are compared
 only if their angles to every vantage point of the tree can differ by no more than factor * r.
 
+What is left after the levels lies in cells, each row in that of its nearest point, and cells lie in blocks, one row of a
+table each. Blocks meet in a product that reads the table again instead of shuffling a copy for each pair. Of two cells
+only rows meet whose angles to the plane between the cells add up to at most min(1, 1.5 * factor) * r: for any e,
+abs(asin(x . e) - asin(y . e)) <= angle(x, y), so from a factor of 2/3 on no pair is lost here.
+
 Bounds: at most MOST_POINTS vantage points are broadcast a level (88 floats each, 46 MB); a task gets at most
 two blocks of BLOCK rows of a shard, however large the shard (a shard that holds a third of all rows is cut
 into blocks by a hash, every pair of blocks being one task). Every row is indexed; the sample only chooses
@@ -36,6 +41,8 @@ RATES, COARSE = (1 / 64, 1 / 8), 1 << 14
 """Shares of the rows that are vantage points, level by level. Where the first share is more than COARSE points, a level of COARSE points goes before it: it takes the large clusters out, which few points find as well."""
 BLOCK, LAST_BLOCK, SMALL = 16384, 32768, 4096
 TILE, FAN = 512, 16
+CELLS, STRIP = 32, 64
+"""Cells of a last block; rows of a cell that meet another cell's rows at once."""
 SLACK = 2e-5
 """Above the error of float32 products of unit vectors; closer calls are repeated in double precision."""
 
@@ -53,6 +60,10 @@ class Plan:
     def ring(self) -> float:
         return float(self.factor * np.arccos(self.least))
 
+    @property
+    def reach(self) -> float:
+        return float(min(1, 1.5 * self.factor) * np.arccos(self.least))
+
 
 def joined(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Labels after joining the labels of each pair (a, b); the smallest stays."""
@@ -150,8 +161,8 @@ def index(signatures: DataFrame, plan: Plan, flags: DataFrame | None = None, rat
     return written(vectors.select("md5", "flag", "seen", "v", F.lit(-1).cast("bigint").alias("home"), F.array().cast("array<bigint>").alias("also")), "level0")
 
 
-def tasks(routed: DataFrame, plan: Plan, rates=RATES, coarse: int = COARSE, most: int = MOST_POINTS, block: int = BLOCK, last_block: int = LAST_BLOCK, small: int = SMALL) -> DataFrame:
-    """shard, bi, bj, side, many, flag, md5, v: every row in every task that has to see it.
+def compared(routed: DataFrame, plan: Plan, leaf, schema: str, rates=RATES, coarse: int = COARSE, most: int = MOST_POINTS, block: int = BLOCK, last_block: int = LAST_BLOCK, small: int = SMALL) -> DataFrame:
+    """What ``leaf(md5, x, side, flag, many, cell)`` gives on each task's rows; every row is in every task that has to see it.
 
     ``routed`` is the first level; the further levels are built here. many: the row is in more than one task."""
     spark, parts, level = routed.sparkSession, [], 0
@@ -165,17 +176,103 @@ def tasks(routed: DataFrame, plan: Plan, rates=RATES, coarse: int = COARSE, most
         if level >= len(rates) or n <= small or not len(points := _points(left, min(rates[level], most / n), level, most)):
             break
         routed = _route(left, points, plan, f"level{level}")
-    rest = left.select(F.lit(len(rates) << 40).alias("shard"), F.col("seen").alias("many"), "flag", "md5", "v")
-    full, inner = _blocks(rest, F.lit(max(1, -(-n // last_block)))), parts[0]
+    inner, full, rest = parts[0], [], None
     for p in parts[1:]:
         inner = inner.unionByName(p)
+    if n > last_block:
+        rest = _met(_cell_blocks(left, n, last_block, small), leaf, schema)
+    else:
+        full.append(_blocks(left.select(F.lit(len(rates) << 40).alias("shard"), F.col("seen").alias("many"), "flag", "md5", "v"), F.lit(1)))
     # at most (rows in shards) / block rows come back: one for each block's worth of a large shard
     big = [(r["shard"], -(-r["n"] // block)) for r in inner.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).collect()]
     if big:
         sizes = spark.createDataFrame(big, "shard bigint, cells bigint")
-        full = full.unionByName(_blocks(inner.join(F.broadcast(sizes), "shard"), F.col("cells")))
+        full.append(_blocks(inner.join(F.broadcast(sizes), "shard"), F.col("cells")))
         inner = inner.join(F.broadcast(sizes), "shard", "left_anti")
-    return full.unionByName(inner.select("shard", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), "many", "flag", "md5", "v"))
+    work = inner.select("shard", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), "many", "flag", "md5", "v")
+    for f in full:
+        work = work.unionByName(f)
+    found = leaves(work, leaf, schema)
+    return found if rest is None else found.unionByName(rest)
+
+
+def _celled(shared, rows: int = 256):
+    """Gives each row the number of its nearest point."""
+
+    def run(batches):
+        points = shared.value
+        for b in batches:
+            u = unit(unpack(b.column("v")))
+            cell = np.concatenate([np.empty(0, "i8"), *[(u[i : i + rows] @ points.T).argmax(1) for i in range(0, len(u), rows)]]) if len(points) else np.zeros(len(u))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype("i4"))], [*b.schema.names, "cell"])
+
+    return run
+
+
+def _cell_blocks(left: DataFrame, n: int, last_block: int, small: int) -> DataFrame:
+    """A written table with one row a block: block, and of its rows, cell after cell, md5, v, flag and cell as lists."""
+    spark = left.sparkSession
+    most = min(last_block, max(small, -(-n // 12)))  # rows of a block: few enough for some tens of tasks
+    points = _points(left, min(1.0, min(COARSE, -(-n * CELLS // last_block)) / n), 99, COARSE)
+    rows = written(left.mapInArrow(_celled(spark.sparkContext.broadcast(points)), "md5 binary, v binary, flag int, seen boolean, cell int").drop("seen"), "cells")
+    # at most COARSE rows come back: one for each cell
+    first, room, places = 0, most, []
+    for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect():
+        pieces = -(-r["n"] // most)
+        if r["n"] > room and room < most:
+            first, room = first + 1, most
+        places.append((r["cell"], first, pieces))
+        if pieces > 1:
+            first, room = first + pieces, most
+        else:
+            room -= r["n"]
+    rows = rows.join(F.broadcast(spark.createDataFrame(places, "cell int, first int, pieces int")), "cell")
+    rows = rows.select((F.col("first") + F.pmod(F.xxhash64("md5", F.lit("piece")), F.col("pieces"))).cast("int").alias("block"), "md5", "v", "flag", "cell")
+
+    def run(batches):
+        kept: list[pa.RecordBatch] = []
+
+        def flush():
+            t = pa.Table.from_batches(kept).combine_chunks()
+            kept.clear()
+            lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in ("md5", "v", "flag", "cell")]
+            return pa.RecordBatch.from_arrays([pa.array([t.column("block")[0].as_py()], pa.int32()), *lists], t.schema.names)
+
+        for b in batches:
+            k = b.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)] if len(k) else [0]
+            for i, j in zip(cuts, cuts[1:]):
+                if kept and kept[0].column("block")[0].as_py() != k[i]:
+                    yield flush()
+                kept.append(b.slice(i, j - i))
+        if kept:
+            yield flush()
+
+    blocks = rows.repartition(first + 1, "block").sortWithinPartitions("block", "cell")
+    return written(blocks.mapInArrow(run, "block int, md5 array<binary>, v array<binary>, flag array<int>, cell array<int>"), "blocks")
+
+
+def _met(blocks: DataFrame, leaf, schema: str) -> DataFrame:
+    """Runs ``leaf`` on each pair of blocks, and on each block with itself; a row is in more than one task."""
+    names = ["md5", "v", "flag", "cell"]
+    a, b = (blocks.select(*[F.col(c).alias(f"{c}_{x}") for c in ("block", *names)]) for x in "ab")
+    # one of two orders, so that the work spreads evenly over the product
+    once = (F.col("block_a") == F.col("block_b")) | ((F.col("block_a") < F.col("block_b")) == ((F.col("block_a") + F.col("block_b")) % 2 == 0))
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                sides = "a" if row.column("block_a")[0].as_py() == row.column("block_b")[0].as_py() else "ab"
+                lists = [[row.column(f"{c}_{x}").flatten() for x in sides] for c in names]
+                md5 = np.array([m for x in lists[0] for m in x.to_pylist()], object)
+                side = np.repeat(np.arange(len(sides)), [len(x) for x in lists[0]])
+                flag, cell = (np.concatenate([x.to_numpy(zero_copy_only=False) for x in c]) for c in lists[2:])
+                got = leaf(md5, np.concatenate([unpack(x) for x in lists[1]]), side, flag, np.ones(len(md5), bool), cell)
+                if got is not None:
+                    yield got
+
+    return a.crossJoin(b).filter(once).mapInArrow(run, schema)
 
 
 def _blocks(rows: DataFrame, cells) -> DataFrame:
@@ -249,6 +346,56 @@ def tiles(u: np.ndarray, side: np.ndarray, ring: float, tile: int = TILE):
     return order, [(cut[i], cut[j]) for i, j in kept]
 
 
+def cell_strips(u: np.ndarray, side: np.ndarray, cell: np.ndarray, reach: float, most: int, strip: int = STRIP):
+    """Pairs of rows to compare, as ``meetings`` gives them; of two blocks only pairs across them.
+
+    Rows of one cell meet all. Of two cells, with e from the mean of one to that of the other, x and y meet if asin(x . e)
+    and asin(y . e) differ by no more than ``reach``: strips of one cell, in the order of that angle, meet the rows of the other that any of theirs can."""
+    order = np.lexsort((cell, side))
+    v, side, cell = u[order], side[order], cell[order]
+    ends = [*(np.flatnonzero((side[1:] != side[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), len(u)]
+    parts = [(i, min(i + most, b)) for a, b in zip([0, *ends], ends) for i in range(a, b, most)]
+    mean, across = np.stack([v[a:b].mean(0) for a, b in parts]), side[0] != side[-1]
+    by = mean @ v.T
+    bound = lambda s, r: np.sin(np.clip(np.arcsin(np.clip(s, -1, 1)) + r, -np.pi / 2, np.pi / 2))
+    for i, (a, b) in enumerate(parts):
+        for j in range(i, len(parts)):
+            c, d = parts[j]
+            if across and side[a] == side[c]:
+                continue
+            length = float(np.linalg.norm(mean[j] - mean[i]))
+            if cell[a] == cell[c] or length < 0.1:
+                yield v[a:b], v[c:d], order[a:b], order[c:d], i == j
+                continue
+            high, low = (by[j, a:b] - by[i, a:b]) / length + SLACK, (by[j, c:d] - by[i, c:d]) / length - SLACK
+            x, y = np.flatnonzero(high >= bound(low.min(), -reach) - SLACK), np.flatnonzero(low <= bound(high.max(), reach) + SLACK)
+            if not len(x) or not len(y):
+                continue
+            high, low = np.arcsin(np.clip(high[x], -1, 1)), np.arcsin(np.clip(low[y], -1, 1))
+            p, q = np.argsort(-high), np.argsort(low)
+            x, y = x[p], y[q]
+            upto = np.searchsorted(low[q], high[p[::strip]] + reach, "right")
+            if upto.sum() * strip > 0.8 * (b - a) * (d - c):
+                yield v[a:b], v[c:d], order[a:b], order[c:d], False
+                continue
+            left, right = v[x + a], v[y + c]
+            at, to = order[x + a], order[y + c]
+            for k, m in enumerate(upto.tolist()):
+                if m:
+                    yield left[k * strip : (k + 1) * strip], right[:m], at[k * strip : (k + 1) * strip], to[:m], False
+
+
+def meetings(u: np.ndarray, side: np.ndarray, plan: Plan, cell: np.ndarray | None = None):
+    """The pairs of rows to compare, part by part: vectors of some rows, vectors of some rows, the numbers of both, and whether both are the same rows."""
+    if cell is not None:
+        yield from cell_strips(u, side, cell, plan.reach, 2048)
+        return
+    order, pairs = tiles(u, side, plan.ring)
+    v = u[order]
+    for (a, b), (c, d) in pairs:
+        yield v[a:b], v[c:d], order[a:b], order[c:d], a == c
+
+
 def exact(x: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 18) -> np.ndarray:
     """Similarity in double precision, rounded at 1e-12 so that equal pairs tie."""
     out = np.empty(len(i))
