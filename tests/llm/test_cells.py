@@ -19,7 +19,7 @@ def loose(n=1200, seed=21):
     return np.round(np.concatenate([x, z]) / 3, 3).astype("f4")[r.permutation(n + n // 3)]
 
 
-LEAST = [0.95]
+LEAST = [0.95, 0.99]
 
 
 @pytest.mark.parametrize("least", LEAST)
@@ -37,7 +37,7 @@ def test_cells_lose_no_pair_and_leave_most_out(least, blocks):
     if blocks == 2:
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(met, 0)
-    assert near.sum() > 100 and (met[near] > 0).all() and met.max() <= 2
+    assert near.sum() > 50 and (met[near] > 0).all() and met.max() <= 2
     assert (met > 0).sum() < {0.78: 1.0, 0.95: 0.6, 0.99: 0.3}[least] * len(u) ** 2
 
 
