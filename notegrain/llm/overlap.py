@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from notegrain.llm.splits import split_name
-from notegrain.llm.vantage import SLACK, Plan, compared, exact, index, meetings, split_copies
+from notegrain.llm.vantage import Plan, Sieve, compared, exact, index, meetings, split_copies
 from notegrain.llm.vectors import key_of, name_of, unit
 from notegrain.plans.shared import written
 
@@ -112,20 +112,23 @@ def _reach(plan: Plan):
         train, wants = (flag & 1) > 0, (flag & 14) > 0
         if len(md5) < 2 or not train.any() or not wants.any():
             return None
-        got = np.zeros(len(md5), bool)
-        for left, right, here, there, _ in meetings(unit(x), side, plan, cell):
-            if not (train[here].any() and wants[there].any() or wants[here].any() and train[there].any()):
+        got, u = np.zeros(len(md5), bool), unit(x)
+        sieve = Sieve(u, plan.least)
+        # only evaluation rows meet training rows; of two blocks those of one meet those of the other
+        for own, other in ((0, 1), (1, 0)) if side.min() != side.max() else ((side[0], side[0]),):
+            mine, theirs = np.flatnonzero(wants & (side == own)), np.flatnonzero(train & (side == other))
+            if not len(mine) or not len(theirs):
                 continue
-            s = left @ right.T
-            p, q = np.nonzero(s >= plan.least - SLACK)
-            p, q = here[p], there[q]
-            keep = (p != q) & ((train[p] & wants[q] & ~got[q]) | (train[q] & wants[p] & ~got[p]))
-            p, q = p[keep], q[keep]
-            if len(p):
-                sure = exact(x, p, q) >= plan.least
-                p, q = p[sure], q[sure]
-                got[q[train[p] & wants[q]]] = True
-                got[p[train[q] & wants[p]]] = True
+            rows, role = np.r_[mine, theirs], np.repeat([0, 1], [len(mine), len(theirs)])
+            for left, right, here, there, _ in meetings(u[rows], role, plan, None if cell is None else cell[rows]):
+                at, _ = sieve.pairs(left, right, rows[here], rows[there])
+                p, q = rows[here[at // len(there)]], rows[there[at % len(there)]]
+                if role[here[0]]:
+                    p, q = q, p
+                keep = (p != q) & ~got[p]
+                p, q = p[keep], q[keep]
+                if len(p):
+                    got[p[exact(x, p, q) >= plan.least]] = True
         at = np.flatnonzero(got)
         return pa.RecordBatch.from_arrays([pa.array(md5[at], pa.binary()), pa.array(flag[at], pa.int32())], ["md5", "flag"]) if len(at) else None
 
@@ -139,7 +142,7 @@ def near(flags: DataFrame, signatures: DataFrame, least: float = 0.99, factor: f
     core, tails = split_copies(routed, 1)
     out = "md5 binary, flag int"
     if tails is None:
-        return compared(core, plan, _reach(plan), out, **sizes).distinct()
+        return compared(core, plan, _reach(plan), out, lone=False, **sizes).distinct()
     # a class of copies is searched as its first file, which carries the class's training flag and reports always (8)
     head = F.element_at("heads", 1)
     names = tails.select("md5", head.alias("head")).unionByName(tails.select(head.alias("md5"), head.alias("head")).distinct())
@@ -147,7 +150,7 @@ def near(flags: DataFrame, signatures: DataFrame, least: float = 0.99, factor: f
     trains = members.groupBy("head").agg(F.sum(F.col("flag").bitwiseAND(1)).alias("trains"))
     mark = F.col("flag").bitwiseOR((F.col("trains") > 0).cast("int")).bitwiseOR(F.lit(8))
     core = written(core.join(trains.withColumnRenamed("head", "md5"), "md5", "left").withColumn("flag", F.when(F.col("trains").isNull(), F.col("flag")).otherwise(mark)).drop("trains"), "heads")
-    hit = written(compared(core, plan, _reach(plan), out, **sizes).distinct(), "hit")
+    hit = written(compared(core, plan, _reach(plan), out, lone=False, **sizes).distinct(), "hit")
     whole = members.join(trains, "head").join(hit.select(F.col("md5").alias("head"), F.lit(1).alias("hit")), "head", "left")
     inside = whole.filter((F.col("hit") == 1) | (F.col("trains") > F.col("flag").bitwiseAND(1))).filter("flag > 1").select("md5", "flag")
     return hit.filter(F.col("flag").bitwiseAND(8) == 0).unionByName(inside)

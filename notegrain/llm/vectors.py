@@ -46,7 +46,7 @@ def unpack(v: pa.Array, d: int = WIDTH) -> np.ndarray:
     for width in (2 * d, 4 * d):
         mine = size == width
         if mine.any():
-            raw = data[at[:-1][mine][:, None] + np.arange(width)]
+            raw = data[at[0] : at[-1]].reshape(n, width) if mine.all() else data[at[:-1][mine][:, None] + np.arange(width)]
             x[mine] = np.ascontiguousarray(raw.reshape(-1, 2, d).transpose(0, 2, 1)).view("<i2")[..., 0] / PLACES if width == 2 * d else np.ascontiguousarray(raw).view("<f4")
     return x
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from notegrain.llm import vantage, vectors
+from notegrain.llm import overlap, vantage, vectors
 from notegrain.llm.vantage import F, Plan
 from test_vector_search import D, cosines
 
@@ -56,3 +56,62 @@ def test_every_row_is_in_one_block_and_every_pair_of_blocks_meets_once(spark):
         met[np.ix_(r.flags, r.flags)] += 1
     own = len(blocks.collect())
     assert (met > 0).all() and (np.diag(met) == own).all()
+
+
+@pytest.mark.parametrize("least", LEAST)
+def test_sieve_loses_no_pair_and_lets_few_pass(least):
+    x = loose()
+    u, n = vectors.unit(x), len(x)
+    near = cosines(x) >= least
+    np.fill_diagonal(near, True)
+    at, whole = vantage.Sieve(u, least).pairs(u, u, np.arange(n), np.arange(n))
+    passed = np.zeros((n, n), bool)
+    passed.reshape(-1)[at] = True
+    assert whole is None and passed[near].all() and near.sum() > n + 50 and passed.sum() < near.sum() + 0.003 * n * n
+    # in a cluster all pairs pass, and rows are multiplied whole
+    v = vectors.unit(u[:1] + 0.01 * u)
+    at, whole = vantage.Sieve(v, least).pairs(v, v, np.arange(n), np.arange(n))
+    assert whole is not None and len(at) == n * n
+
+
+def test_near_looks_at_evaluation_rows_against_training_rows_only(monkeypatch):
+    x = loose()
+    n, met = len(x), 0
+    flag = np.where(np.arange(n) % 10 == 0, 2, 1)
+    flag[5::40] = 3  # in both
+    pairs = vantage.Sieve.pairs
+
+    def counted(self, left, right, here, there):
+        nonlocal met
+        met += len(left) * len(right)
+        return pairs(self, left, right, here, there)
+
+    monkeypatch.setattr(vantage.Sieve, "pairs", counted)
+    near, wants, train = cosines(x) >= 0.99, (flag & 14) > 0, (flag & 1) > 0
+    for blocks in (1, 2):
+        side = np.arange(n) % blocks
+        ok = near & train[None, :] & (True if blocks == 1 else side[:, None] != side[None, :])
+        want = set(np.flatnonzero(wants & ok.any(1)).tolist())
+        got = overlap._reach(Plan(0.99, 1.0))(np.array([str(i).encode() for i in range(n)], object), x, side, flag, np.ones(n, bool), None)
+        assert len(want) > 2 and {int(m) for m in got.column("md5").to_pylist()} == want
+    assert met < 0.45 * n * n
+
+
+def test_of_rows_drawn_together_only_the_mean_is_a_point():
+    r = np.random.default_rng(3)
+    groups = [r.normal(size=(1, D)) + 0.3 * r.normal(size=(k, D)) for k in (40, 2, 1, 1)]
+    points, shard = vantage.centres(vectors.unit(np.concatenate(groups)))
+    assert len(points) == len(shard) == 2 and shard.tolist() == [0, 40]
+    assert all((vectors.unit(g) @ p >= vantage.HOME).all() for g, p in zip(groups, points))
+    assert len(vantage.centres(vectors.unit(np.concatenate(groups)), 1)[0]) == 4
+    # a chain too wide for one ball keeps its rows as points
+    a = np.radians(np.arange(0, 180, 10))
+    chain = np.stack([np.cos(a), np.sin(a)], 1).astype("f4")
+    assert len(vantage.centres(chain)[0]) == len(chain)
+
+
+def test_places_are_those_of_the_true_values():
+    r = np.random.default_rng(4)
+    for shape in ((0, 5), (1, 7), (3, 8), (31, 33)):
+        mask = r.random(shape) < 0.1
+        assert (vantage.places(mask) == np.flatnonzero(mask)).all()
