@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from notegrain.llm.vantage import SLACK, Plan, _blocks, compared, exact, index, joined, leaves, meetings, split_copies, tiles
+from notegrain.llm.vantage import SLACK, Plan, Sieve, _blocks, compared, exact, index, joined, leaves, meetings, split_copies, tiles
 from notegrain.llm.vectors import WIDTH, name_of, unit, unpack
 from notegrain.operators.components import components
 from notegrain.plans.shared import dropped, written
@@ -58,15 +58,13 @@ def task_labels(x: np.ndarray, side: np.ndarray, plan: Plan, cell: np.ndarray |
     left is listed."""
     u = unit(x)
     label = np.arange(len(u))
+    sieve = Sieve(u, plan.least)
     for left, right, here, there, same in meetings(u, side, plan, cell):
         one = label[here[0]]
         if label[there[0]] == one and (label[here] == one).all() and (label[there] == one).all():
             continue
-        s = left @ right.T
-        if same:
-            np.fill_diagonal(s, -2)
-        at = np.flatnonzero(s >= plan.least - SLACK)
-        if len(at) > 8 * sum(s.shape):
+        at, s = sieve.pairs(left, right, here, there)
+        if s is not None and len(at) > 8 * sum(s.shape):
             while True:
                 s[label[here][:, None] == label[there][None, :]] = -2
                 mate = s.argmax(1)
@@ -78,12 +76,16 @@ def task_labels(x: np.ndarray, side: np.ndarray, plan: Plan, cell: np.ndarray |
             at = np.flatnonzero(s >= plan.least - SLACK)
         if not len(at):
             continue
-        i, j = here[at // s.shape[1]], there[at % s.shape[1]]
+        i, j = here[at // len(there)], there[at % len(there)]
         apart = label[i] != label[j]
         if apart.any():
-            i, j, w = i[apart], j[apart], s.reshape(-1)[at[apart]].astype("f8")
-            close = w < plan.least + SLACK
-            w[close] = exact(x, i[close], j[close])
+            i, j = i[apart], j[apart]
+            if s is None:
+                w = exact(x, i, j)
+            else:
+                w = s.reshape(-1)[at[apart]].astype("f8")
+                close = w < plan.least + SLACK
+                w[close] = exact(x, i[close], j[close])
             keep = w >= plan.least
             label = single_rounds(label, i[keep], j[keep], w[keep])
     return label

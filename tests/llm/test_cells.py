@@ -3,9 +3,9 @@
 import numpy as np
 import pytest
 
-from notegrain.llm import overlap, vantage, vectors
+from notegrain.llm import linkage, overlap, vantage, vectors
 from notegrain.llm.vantage import F, Plan
-from test_vector_search import D, cosines
+from test_vector_search import D, chains, cosines, name
 
 
 def loose(n=1200, seed=21):
@@ -115,3 +115,22 @@ def test_places_are_those_of_the_true_values():
     for shape in ((0, 5), (1, 7), (3, 8), (31, 33)):
         mask = r.random(shape) < 0.1
         assert (vantage.places(mask) == np.flatnonzero(mask)).all()
+
+
+def test_groups_of_loose_rows_need_few_whole_products(monkeypatch):
+    x = loose()
+    n, whole, front = len(x), 0, 0
+    pairs = vantage.Sieve.pairs
+
+    def counted(self, left, right, here, there):
+        nonlocal whole, front
+        got = pairs(self, left, right, here, there)
+        whole, front = whole + (got[1] is not None), front + (got[1] is None)
+        return got
+
+    monkeypatch.setattr(vantage.Sieve, "pairs", counted)
+    u = vectors.unit(x)
+    label = linkage.task_labels(x, np.zeros(n, int), Plan(0.78, 1.0), (u @ u[::33].T).argmax(1) // 20)
+    want = chains(x, 0.78, 1)
+    assert {(name(i), name(c)) for i, c in enumerate(label)} == want and len({c for _, c in want}) < n - 200
+    assert front > 2 and whole < front / 4
